@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where DuckDB can express them, their SQL."""
 
-from scrollmill.llm import bpe, exact_dedup, line_dedup, mixing
+from scrollmill.llm import bpe, exact_dedup, line_dedup, minhash_dedup, mixing
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_bpe": bpe.op5_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
@@ -11,6 +12,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_mix_sources": mixing.ORACLE_OP1,
+    "op3_minhash_dedup": minhash_dedup.ORACLE_OP3,
     "op4_exact_dedup": exact_dedup.ORACLE_OP4,
     "op9_line_dedup": line_dedup.ORACLE_OP9,
 }
