@@ -1,12 +1,14 @@
 """The queries of this subpackage and, where DuckDB can express them, their SQL."""
 
-from scrollmill.llm import bpe, exact_dedup, line_dedup, minhash_dedup, mixing
+from scrollmill.llm import bpe, exact_dedup, langid, line_dedup, media, minhash_dedup, mixing
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_bpe": bpe.op5_bpe,
+    "op6_media": media.op6_media,
+    "op7_language_id": langid.op7_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
