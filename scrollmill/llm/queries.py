@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where DuckDB can express them, their SQL."""
 
-from scrollmill.llm import bpe, exact_dedup, langid, line_dedup, media, minhash_dedup, mixing
+from scrollmill.llm import bpe, exact_dedup, langid, line_dedup, media, minhash_dedup, mixing, suffix_dedup
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_media": media.op6_media,
     "op7_language_id": langid.op7_language_id,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
