@@ -5,9 +5,9 @@ the minima are packed: where two packed signatures differ is counted bit by bit
 which gives an estimate that drops candidates far below the threshold. Links are confirmed on the full shingle sets.
 
 Documents with equal sets are one class with one representative. In a bucket, members are first held against one hub, in
-two rounds with the components merged between. Only pairs that are still in different components are then compared, in
-blocks, so that a large group of near copies costs its members times the few that stand apart, and no bucket is ever in
-one place.
+two rounds with the components merged between. Only members that are still in different components are then compared, in
+blocks, so that a large group of near copies costs its members times the few that stand apart; no bucket is ever in one
+place, and pairs that are no links never leave their block.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from scrollmill.llm.shingles import MULTIPLIER, mix64, shingle_sets, slices
 BANDS, ROWS, BITS = 32, 5, 4
 #: Candidates estimated this many standard deviations below the threshold are dropped.
 SIGMAS = 5.0
-BLOCK = 2048
+#: Members of a block.
+BLOCK = 1024
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -157,59 +158,113 @@ def _star(opened: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("b")).withColumnRenamed("id", "a")
 
 
-def _rest(opened: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of one bucket but different components whose estimate is not far below the threshold.
+def _cells(members: DataFrame, group: list[str], n, n_most, cols: list[str]) -> DataFrame:
+    """Members of each group dealt into cells (group, i, j), sorted by cell: block i of those outside the group's main
+    component (asks) meets block j of all. Each pair of a group with one outside meets in one cell."""
+    across = F.ceil(n / F.lit(BLOCK)).cast("int")
+    down = F.ceil((n - n_most) / F.lit(BLOCK)).cast("int")
+    asks = members.where("label <> most").select(*group, *cols, F.lit(True).alias("asks"), F.pmod(F.xxhash64("id"), down).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), across - 1)).alias("j"))
+    told = members.select(*group, *cols, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), down - 1)).alias("i"), F.pmod(F.xxhash64("id"), across).cast("int").alias("j"))
+    return asks.unionByName(told).repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j")
+
+
+def _cell_by_cell(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """The rows of each cell, from batches sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in key], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(keys[lo])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Forest:
+    """Components of labels."""
+
+    def __init__(self, labels: np.ndarray):
+        names, self.place = np.unique(labels, return_inverse=True)
+        self.root = np.arange(len(names))
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether rows x and y were apart."""
+        a, b = self.root[self.place[x]], self.root[self.place[y]]
+        if a == b:
+            return False
+        self.root[self.root == b] = a
+        return True
+
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        return self.root[self.place[rows]]
+
+
+def _plausible(opened: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): labels to be held against each other, as members of theirs share a bucket and seem alike; enough of them to connect all such labels."""
+    full = opened.join(reps.select("id", "packed"), "id")
+    cells = _cells(full, ["band", "key"], F.col("n"), F.col("n_most"), ["id", "label", "packed"])
+    least = floor_of(percent / 100)
 
-    Members outside the main component are held against all members, block by block. A pair that shares several
-    buckets is taken in the first.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _cell_by_cell(batches, ["band", "key", "i", "j"]):
+            labels, asks = t.column("label").to_numpy(), t.column("asks").to_numpy()
+            packed = np.frombuffer(b"".join(t.column("packed").to_pylist()), np.uint64).reshape(len(labels), -1)
+            forest, told, out = Forest(labels), np.flatnonzero(~asks), []
+            for u in np.flatnonzero(asks).tolist():
+                apart = told[forest.roots(told) != forest.roots(np.array([u]))[0]]
+                for v in apart[estimate(packed[u : u + 1], packed[apart])[0] >= least].tolist() if len(apart) else ():
+                    if forest.join(u, v):
+                        out.append((labels[u], labels[v]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def _rest(opened: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links between members of different labels, confirmed on the full sets; enough of them to connect all labels that links connect.
+
+    Labels with plausible pairs make up groups. In each, members outside the main component are held against all, block
+    by block, with their texts at hand, so that no pair leaves its cell but those that join two labels.
     """
-    full = opened.join(signed.select("id", "bands", "packed"), "id")
-    size = F.lit(BLOCK)
-    across = F.ceil(F.col("n") / size).cast("int")
-    down = F.ceil((F.col("n") - F.col("n_most")) / size).cast("int")
-    cols = ["band", "key", "id", "label", "bands", "packed"]
-    asks = full.where("label <> most").select(*cols, F.lit(True).alias("asks"), F.pmod(F.xxhash64("id"), down).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), across - 1)).alias("j"))
-    told = full.select(*cols, F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), down - 1)).alias("i"), F.pmod(F.xxhash64("id"), across).cast("int").alias("j"))
-    cells = asks.unionByName(told).repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    groups = components(_plausible(opened, reps, percent)).select(F.col("id").alias("label"), F.col("component").alias("grp"))
+    members = cut(opened.select("id", "label").distinct().join(groups, "label"), "open")
+    top = members.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("grp")
+    top = top.agg(F.sum("c").alias("n"), F.max("c").alias("n_most"), F.max_by("label", F.struct("c", -F.col("label"))).alias("most"))
+    full = members.join(top, "grp").join(reps.select("id", "packed"), "id").join(texts, "id")
+    cells = _cells(full, ["grp"], F.col("n"), F.col("n_most"), ["id", "label", "packed", "text"])
     least = floor_of(percent / 100)
 
-    def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
-        ids, labels, asks = (t.column(c).to_numpy() for c in ("id", "label", "asks"))
-        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), BANDS)
-        packed = np.frombuffer(b"".join(t.column("packed").to_pylist()), np.uint64).reshape(len(ids), -1)
-        band = t.column("band")[0].as_py()
-        p, q = np.flatnonzero(asks), np.flatnonzero(~asks)
-        left, right = [], []
-        for at in range(0, len(p), 128):
-            u = p[at : at + 128]
-            x, y = np.nonzero((estimate(packed[u], packed[q]) >= least) & (labels[u][:, None] != labels[q][None, :]))
-            x, y = u[x], q[y]
-            if band:
-                new = ~(bands[x, :band] == bands[y, :band]).any(axis=1)
-                x, y = x[new], y[new]
-            left.append(ids[x])
-            right.append(ids[y])
-        a, b = (np.concatenate(v) if v else ids[:0] for v in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("band", "key", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                now = tuple(keys[lo])
-                if held and now != last:
-                    yield compare(held)
-                    held = []
-                held.append(batch.slice(lo, hi - lo))
-                last = now
-        if held:
-            yield compare(held)
-
-    return cells.mapInArrow(run, "a long, b long").distinct()
+        for t in _cell_by_cell(batches, ["grp", "i", "j"]):
+            ids, labels, asks = (t.column(c).to_numpy() for c in ("id", "label", "asks"))
+            packed = np.frombuffer(b"".join(t.column("packed").to_pylist()), np.uint64).reshape(len(ids), -1)
+            texts = t.column("text").combine_chunks()
+            sets = [x for lo, hi in slices(texts) for x in shingle_sets(texts.slice(lo, hi - lo), width)]
+            known, place = np.unique(np.concatenate(sets), return_inverse=True)
+            place = np.split(place, np.cumsum([len(x) for x in sets])[:-1])
+            has = np.zeros(len(known), bool)
+            forest, told, out = Forest(labels), np.flatnonzero(~asks), []
+            for u in np.flatnonzero(asks).tolist():
+                apart = told[forest.roots(told) != forest.roots(np.array([u]))[0]]
+                if not len(apart):
+                    continue
+                has[place[u]] = True
+                for v in apart[estimate(packed[u : u + 1], packed[apart])[0] >= least].tolist():
+                    both = int(has[place[v]].sum())
+                    if 100 * both >= percent * (len(place[u]) + len(place[v]) - both) and forest.join(u, v):
+                        out.append((ids[u], ids[v]))
+                has[place[u]] = False
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -232,8 +287,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    for step in (_star, _star, lambda o: _rest(o, reps, percent)):
-        found = cut(confirm(step(_open(members, labels)), texts, width, percent), "confirmed")
+    for step in ("star", "star", "rest"):
+        opened = _open(members, labels)
+        found = confirm(_star(opened), texts, width, percent) if step == "star" else _rest(opened, reps, texts, width, percent)
+        found = cut(found, "confirmed")
         # What is known of earlier links is in the labels.
         links = found if labels is None else found.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
         labels = cut(components(links), "labels")
