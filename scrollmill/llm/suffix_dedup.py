@@ -56,9 +56,12 @@ def _powers(n: int) -> np.uint64:
     return np.uint64(pow(int(MULTIPLIER), n, 1 << 64))
 
 
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
+
+
 def gram_hashes(b: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes at each place."""
-    h = mix64(b.astype(np.uint64) + np.uint64(1))
+    h = _BYTES[b]
     have, four = 1, h
     while have < 16:
         h = h[:-have] * _powers(have) + h[have:]
@@ -66,26 +69,32 @@ def gram_hashes(b: np.ndarray) -> np.ndarray:
         if have == 4:
             four = h
     n = len(b) - GRAM + 1
-    return mix64(h[:n] * _powers(4) + four[16 : 16 + n])
+    h = h[:n] * _powers(4) + four[16 : 16 + n]
+    h ^= h >> np.uint64(32)
+    return h * np.uint64(0xD6E8FEB86659FD93)
 
 
 def anchors(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """The joined texts, their bounds, and places and hashes of the anchors of all their strings of SPAN bytes."""
+    """The joined texts, their bounds, and places and hashes of the anchors of all their strings of SPAN bytes.
+
+    A string's anchors are the grams in it whose hash has the least leading half. Their hashes are scattered anew, as
+    minima lie close together.
+    """
     joined = b"".join(texts)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     none = np.zeros(0, np.int64)
     if len(joined) < SPAN:
         return joined, bounds, none, none.astype(np.uint64)
     h = gram_hashes(np.frombuffer(joined, np.uint8))
-    low = _slide(h, PLACES, np.minimum)
+    rank = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    low = _slide(rank, PLACES, np.minimum)
     edge = np.zeros(len(joined) + 1, np.int32)  # strings that would run over a text's end
     np.add.at(edge, np.maximum(bounds[1:] - SPAN + 1, bounds[:-1]), 1)
     np.add.at(edge, bounds[1:], -1)
     low[np.cumsum(edge)[: len(low)] > 0] = 0
-    pad = np.zeros(PLACES - 1, np.uint64)
-    best = _slide(np.concatenate([pad, low, pad]), PLACES, np.maximum)
-    at = np.flatnonzero((best == h) & (h > 0))
-    return joined, bounds, at, h[at]
+    pad = np.zeros(PLACES - 1, np.uint32)
+    at = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), PLACES, np.maximum) == rank)
+    return joined, bounds, at, mix64(h[at])
 
 
 class Batch:
@@ -110,26 +119,57 @@ class Batch:
         cuts = np.searchsorted(own, np.arange(owners + 1, dtype=np.uint64))
         return [(o, lo, hi) for o, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if hi > lo]
 
-    def runs(self, shared: dict[int, bytes], owners: int) -> Iterator[tuple[int, list[tuple[bytes, int]], list[list[tuple[int, int]]]]]:
-        """By owner: the sorted distinct (suffix, bytes from the anchor on) of the shared anchors, and the (place, doc) that have each."""
-        joined, bounds = self.joined, self.bounds.tolist()
+    def suffixes(self, shared: dict[int, bytes], owners: int) -> Suffixes:
+        """The suffixes at shared anchors."""
+        flags = np.zeros(len(self.hashes), bool)
+        own = np.zeros(len(self.hashes), np.int64)
         for owner, lo, hi in self.ranges(owners):
-            if owner not in shared:
-                continue
-            flags = np.unpackbits(np.frombuffer(shared[owner], np.uint8), count=hi - lo)
-            found: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
-            for k in (np.flatnonzero(flags) + lo).tolist():
-                a, b = self.starts[k], self.ends[k]
-                for q, d in zip(self.at[a:b].tolist(), self.doc[a:b].tolist(), strict=True):
-                    right = joined[q : min(q + SPAN, bounds[d + 1])]
-                    key = (right + joined[max(q - PLACES + 1, bounds[d]) : q][::-1], len(right))
-                    found.setdefault(key, []).append((q, d))
-            keys = sorted(found)
-            yield owner, keys, [found[k] for k in keys]
+            own[lo:hi] = owner
+            if owner in shared:
+                flags[lo:hi] = np.unpackbits(np.frombuffer(shared[owner], np.uint8), count=hi - lo)
+        sizes = self.ends - self.starts
+        at = np.repeat(flags, sizes)
+        return Suffixes(self.joined, self.bounds, self.at[at], self.doc[at], np.repeat(own, sizes)[at])
+
+
+class Suffixes:
+    """Distinct suffixes (keys, a row of WIDTH bytes each) sorted by owner, then bytes; suffix k has the places q[first[k]:first[k + 1]] of texts d[...].
+
+    A key is the SPAN bytes from the anchor on, the PLACES - 1 before it backwards, zeros where the text ends, and how
+    many bytes either part has.
+    """
+
+    def __init__(self, joined: bytes, bounds: np.ndarray, q: np.ndarray, d: np.ndarray, own: np.ndarray):
+        n, before = len(q), PLACES - 1
+        buf = np.frombuffer(bytes(before) + joined + bytes(SPAN), np.uint8)
+        keys = np.zeros((n, -(-WIDTH // 8) * 8), np.uint8)
+        right, left = np.minimum(bounds[d + 1] - q, SPAN), np.minimum(q - bounds[d], before)
+        for lo in range(0, n, 1 << 16):  # bounds the memory of the gathered places
+            c = slice(lo, lo + (1 << 16))
+            to, back = np.arange(SPAN), np.arange(before)
+            keys[c, :SPAN] = np.where(to < right[c, None], buf[q[c, None] + before + to], 0)
+            keys[c, SPAN : SPAN + before] = np.where(back < left[c, None], buf[q[c, None] + before - 1 - back], 0)
+        keys[:, WIDTH - 2], keys[:, WIDTH - 1] = right, left
+        words = keys.view(">u8").astype(np.uint64)
+        order = np.lexsort([*words.T[::-1], own])
+        words, own = words[order], own[order]
+        new = np.ones(n, bool)
+        new[1:] = (words[1:] != words[:-1]).any(axis=1) | (own[1:] != own[:-1])
+        self.q, self.d = q[order], d[order]
+        self.first = np.append(np.flatnonzero(new), n)
+        self.keys = keys[order[self.first[:-1]], :WIDTH]
+        self.own = own[self.first[:-1]]
+
+    def ranges(self) -> list[tuple[int, int, int]]:
+        """[(owner, lo, hi)] of the suffixes."""
+        cuts = [0, *(np.flatnonzero(self.own[1:] != self.own[:-1]) + 1).tolist(), len(self.own)]
+        return [(int(self.own[lo]), lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if hi > lo]
 
 
 # Runs
 
+WIDTH = SPAN + PLACES - 1 + 2
+
 
 def common(x: bytes, y: bytes, at: int = 0) -> int:
     """Length of the common prefix, of which `at` bytes are known."""
@@ -141,106 +181,124 @@ def common(x: bytes, y: bytes, at: int = 0) -> int:
     return at
 
 
-def front_code(keys: list[tuple[bytes, int]], docs: list[int], several: list[bool]) -> bytes:
-    """A sorted run: lengths, common prefixes, what follows them, and each suffix's least document."""
-    n, before = len(keys), b""
-    head, rest = bytearray(), []
-    for (s, r), m in zip(keys, several, strict=True):
-        p = common(before, s)
-        head += bytes((p, len(s), r, m))
-        rest.append(s[p:])
-        before = s
-    return zlib.compress(struct.pack("<I", n) + bytes(head) + np.array(docs, "<i8").tobytes() + b"".join(rest), 1)
+def front_code(keys: np.ndarray, docs: np.ndarray, several: np.ndarray) -> bytes:
+    """A sorted run of rows: for each the common prefix with the one before, its least document, whether several have it; then what follows the prefixes."""
+    n = len(keys)
+    prefix = np.zeros(n, np.int64)
+    if n > 1:
+        prefix[1:] = (keys[1:] != keys[:-1]).argmax(axis=1)
+    rest = keys[np.arange(keys.shape[1]) >= prefix[:, None]]
+    return zlib.compress(struct.pack("<II", n, keys.shape[1]) + prefix.astype("u1").tobytes() + several.astype("u1").tobytes() + docs.astype("<i8").tobytes() + rest.tobytes(), 1)
 
 
-def front_decode(blob: bytes) -> Iterator[tuple[int, bytes, int, int, int]]:
-    """(common prefix with the one before, suffix, bytes from the anchor on, least document, whether several have it)."""
+def front_decode(blob: bytes) -> tuple[list[int], list[bytes], list[int], list[int]]:
+    """Common prefixes with the one before, suffixes, least documents, and whether several have each."""
     data = zlib.decompress(blob)
-    n = struct.unpack_from("<I", data)[0]
-    docs = np.frombuffer(data, "<i8", n, 4 + 4 * n).tolist()
-    at, before = 4 + 12 * n, b""
-    for k in range(n):
-        p, size, r, m = data[4 + 4 * k : 8 + 4 * k]
-        before = before[:p] + data[at : at + size - p]
-        at += size - p
-        yield p, before, r, docs[k], m
-
-
-def merge(runs: list[bytes]) -> Iterator[tuple[int, int, int, bytes, int, int, int]]:
-    """(common prefix with the one before, run, place in it, suffix, bytes from the anchor on, least document, several) in sorted order.
-
-    A loser tree: node k holds the run that lost there and its common prefix with the run that won. As a winner's path
-    to the root is played again, all prefixes on it are with that winner, the last that was put out.
+    n, width = struct.unpack_from("<II", data)
+    prefixes, several = list(data[8 : 8 + n]), list(data[8 + n : 8 + 2 * n])
+    at, before, keys = 8 + 10 * n, b"", []
+    for p in prefixes:
+        end = at + width - p
+        before = before[:p] + data[at:end]
+        at = end
+        keys.append(before)
+    return prefixes, keys, np.frombuffer(data, "<i8", n, 8 + 2 * n).tolist(), several
+
+
+def merge(runs: list[bytes]) -> Iterator[tuple[int, int, int, bytes, int, int]]:
+    """(common prefix with the one before, run, place in it, suffix, least document, several) of all runs in sorted order.
+
+    A loser tree: node k holds the run that lost there and its common prefix with the run that won, -1 if it is at its
+    end. As a winner's path to the root is played again, all prefixes on it are with that winner, the last that was put
+    out: of two, the one that has more in common with it comes first, and only a tie is compared, from there on.
     """
-    n = len(runs)
+    size = 1 << max(0, (len(runs) - 1).bit_length())
     heads = [front_decode(r) for r in runs]
-    now = [next(h, None) for h in heads]
-    place = [0] * n
-    size = 1 << max(0, (n - 1).bit_length())
-
-    def play(a: int, la: int, b: int, lb: int) -> tuple[int, int, int, int]:
-        """Winner and its prefix with the last output, loser and its prefix with the winner."""
-        x, y = now[a] if a < n else None, now[b] if b < n else None
-        if y is None:
-            return a, la, b, 0
-        if x is None:
-            return b, lb, a, 0
-        if la != lb:
-            return (a, la, b, lb) if la > lb else (b, lb, a, la)
-        s, t = x[1], y[1]
-        p = common(s, t, la)
-        if p == len(s) or (p < len(t) and s[p] < t[p]):
-            if p == len(s) == len(t) and (b, y[2]) < (a, x[2]):
-                return b, lb, a, p
-            return a, la, b, p
-        return b, lb, a, p
-
-    lost: list[tuple[int, int]] = [(n, 0)] * (2 * size)
-    won: list[tuple[int, int]] = [(n, 0)] * size + [(i, 0) for i in range(size)]
-    for k in range(size - 1, 0, -1):
-        (a, la), (b, lb) = won[2 * k], won[2 * k + 1]
-        w, lw, x, lx = play(a, la, b, lb)
-        won[k], lost[k] = (w, lw), (x, lx)
-    best, prefix = won[1]
-    while best < n and now[best] is not None:
-        _, s, r, doc, m = now[best]
-        yield prefix, best, place[best], s, r, doc, m
-        now[best] = next(heads[best], None)
-        place[best] += 1
-        prefix = now[best][0] if now[best] else 0
+    place = [0] * len(runs)
+    now = [h[1][0] if h[1] else b"" for h in heads]
+    lost_run, lost_prefix = [0] * size, [-1] * size
+
+    won = [(i, 0 if i < len(runs) and heads[i][1] else -1) for i in range(size)]
+    while len(won) > 1:
+        up = []
+        for k, ((a, la), (b, lb)) in enumerate(zip(won[::2], won[1::2], strict=True)):
+            if la >= 0 and la == lb:
+                x, y = now[a], now[b]
+                p = common(x, y, la)
+                a, la, b, lb = (a, la, b, p) if x <= y else (b, lb, a, p)
+            elif lb > la:
+                a, la, b, lb = b, lb, a, la
+            lost_run[len(won) // 2 + k], lost_prefix[len(won) // 2 + k] = b, lb
+            up.append((a, la))
+        won = up
+    best, prefix = won[0]
+    while prefix >= 0:
+        prefixes, keys, docs, several = heads[best]
+        at = place[best]
+        yield prefix, best, at, keys[at], docs[at], several[at]
+        place[best] = at = at + 1
+        if at < len(keys):
+            now[best], prefix = keys[at], prefixes[at]
+        else:
+            prefix = -1
         k = (size + best) >> 1
         while k:
-            other, lo = lost[k]
-            best, prefix, x, lx = play(best, prefix, other, lo)
-            lost[k] = (x, lx)
+            lo = lost_prefix[k]
+            if lo > prefix:
+                lost_run[k], best = best, lost_run[k]
+                lost_prefix[k], prefix = prefix, lo
+            elif lo == prefix >= 0:
+                other = lost_run[k]
+                x, y = now[best], now[other]
+                p = common(x, y, lo)
+                if p == len(x):
+                    if other < best:
+                        lost_run[k], best = best, other
+                elif x[p] > y[p]:
+                    lost_run[k], best = best, other
+                lost_prefix[k] = p
             k >>= 1
 
 
-def least_documents(suffixes: list[tuple[bytes, int, int]]) -> list[list[tuple[int, int, int]]]:
-    """For each (suffix, bytes from the anchor on, least document) of one anchor: [(lo, hi, least)], runs of strings.
+def least_documents(suffixes: list[tuple[bytes, int]]) -> list[list[tuple[int, int, int]]]:
+    """For each (suffix, least document) of one anchor: [(lo, hi, least)], runs of strings.
 
-    String o starts o bytes before the anchor; least is the least document of all that have it.
+    String o starts o bytes before the anchor; least is the least document of all that have it. A few suffixes are
+    compared with each other, many are looked up.
     """
-    if len(suffixes) == 1:
-        s, r, doc = suffixes[0]
-        lo, hi = max(0, SPAN - r), len(s) - r
-        return [[(lo, hi, doc)] if lo <= hi else []]
-    out: list[list[tuple[int, int, int]]] = [[] for _ in suffixes]
-    for o in range(PLACES):
-        least: dict[tuple[bytes, bytes], int] = {}
-        here = []
-        for k, (s, r, doc) in enumerate(suffixes):
-            if o <= len(s) - r and SPAN - o <= r:
-                key = (s[: SPAN - o], s[r : r + o])
-                here.append((k, key))
-                if doc < least.get(key, doc + 1):
-                    least[key] = doc
-        for k, key in here:
-            runs, m = out[k], least[key]
-            if runs and runs[-1][1] == o - 1 and runs[-1][2] == m:
-                runs[-1] = (runs[-1][0], o, m)
-            else:
-                runs.append((o, o, m))
+    spans = [(max(0, SPAN - s[WIDTH - 2]), s[WIDTH - 1]) for s, _ in suffixes]
+    least = [[doc] * PLACES for _, doc in suffixes]
+    if len(suffixes) <= 8:
+        for i, (x, dx) in enumerate(suffixes):
+            for j in range(i):
+                y, dy = suffixes[j]
+                right = min(common(x, y), x[WIDTH - 2], y[WIDTH - 2])
+                if right < GRAM:
+                    continue
+                left = min(common(x[SPAN : WIDTH - 2], y[SPAN : WIDTH - 2]), x[WIDTH - 1], y[WIDTH - 1])
+                for o in range(max(0, SPAN - right), left + 1):
+                    if dy < least[i][o]:
+                        least[i][o] = dy
+                    if dx < least[j][o]:
+                        least[j][o] = dx
+    else:
+        for o in range(PLACES):
+            met: dict[tuple[bytes, bytes], int] = {}
+            here = [(k, (s[: SPAN - o], s[SPAN : SPAN + o])) for k, (s, _) in enumerate(suffixes) if spans[k][0] <= o <= spans[k][1]]
+            for k, key in here:
+                met[key] = min(met.get(key, suffixes[k][1]), suffixes[k][1])
+            for k, key in here:
+                least[k][o] = met[key]
+    out = []
+    for (lo, hi), m in zip(spans, least, strict=True):
+        runs = []
+        while lo <= hi:
+            end = lo
+            while end < hi and m[end + 1] == m[lo]:
+                end += 1
+            runs.append((lo, end, m[lo]))
+            lo = end + 1
+        out.append(runs)
     return out
 
 
@@ -323,10 +381,12 @@ def _send_runs(shared: DataFrame, owners: int) -> DataFrame:
         for rows in batches:
             for row in rows.to_pylist():
                 b = Batch(row["ids"], row["texts"])
-                for owner, keys, places in b.runs({x["owner"]: x["bits"] for x in row["shared"]}, owners):
-                    docs = [[b.ids[d] for _, d in p] for p in places]
-                    blob = front_code(keys, [min(x) for x in docs], [len(set(x)) > 1 for x in docs])
-                    yield pa.RecordBatch.from_arrays([pa.array([owner], pa.int32()), pa.array([row["batch"]], pa.int64()), pa.array([blob], pa.binary())], ["owner", "batch", "run"])
+                f = b.suffixes({x["owner"]: x["bits"] for x in row["shared"]}, owners)
+                ids = np.array(b.ids, np.int64)[f.d]
+                least, most = (g.reduceat(ids, f.first[:-1]) if len(ids) else ids for g in (np.minimum, np.maximum))
+                out = [(owner, row["batch"], front_code(f.keys[lo:hi], least[lo:hi], least[lo:hi] < most[lo:hi])) for owner, lo, hi in f.ranges()]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["owner", "batch", "run"])
 
     return shared.mapInArrow(run, "owner int, batch long, run binary")
 
@@ -337,28 +397,29 @@ def _merge_runs(sent: DataFrame, owners: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, rows in _by_owner(batches).items():
             told = [bytearray() for _ in rows]
-            group: list[tuple[bytes, int, int]] = []  # distinct suffixes
-            members: list[tuple[int, int, int]] = []  # (run, place, which suffix)
-            several = False
+            group: list[tuple[bytes, int]] = []  # distinct suffixes of one anchor
+            members: list[tuple[int, int, int, int, int]] = []  # (run, place, which suffix, least document, several)
 
             def close(told=told):
-                if len(members) > 1 or several:
+                if len(members) > 1 or members[0][4]:
                     answers = least_documents(group)
-                    for i, place, k in members:
+                    for i, place, k, own, m in members:
                         for lo, hi, doc in answers[k]:
-                            told[i] += struct.pack("<IBBq", place, lo, hi, doc)
+                            if doc < own or m:
+                                told[i] += struct.pack("<IBBq", place, lo, hi, doc)
 
-            for prefix, i, place, s, r, doc, m in merge([x["run"] for x in rows]):
+            for prefix, i, place, s, doc, m in merge([x["run"] for x in rows]):
                 if prefix < GRAM and members:
                     close()
-                    group, members, several = [], [], False
-                if group and prefix == len(s) and group[-1][0] == s and group[-1][1] == r:
-                    group[-1] = (s, r, min(doc, group[-1][2]))
+                    group, members = [], []
+                if prefix == WIDTH and group:
+                    if doc < group[-1][1]:
+                        group[-1] = (s, doc)
                 else:
-                    group.append((s, r, doc))
-                members.append((i, place, len(group) - 1))
-                several = several or bool(m)
-            close()
+                    group.append((s, doc))
+                members.append((i, place, len(group) - 1, doc, m))
+            if members:
+                close()
             out = [(r["batch"], owner, zlib.compress(bytes(t), 1)) for r, t in zip(rows, told, strict=True) if t]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["batch", "owner", "told"])
@@ -382,15 +443,18 @@ def _remove(told: DataFrame, owners: int) -> DataFrame:
                     b = Batch(row["ids"], row["texts"])
                     least = {x["owner"]: np.frombuffer(zlib.decompress(x["told"]), _TOLD) for x in row["least"]}
                     edge = np.zeros(len(gone) + 1, np.int32)
-                    on, off = [], []
-                    for owner, _, places in b.runs({x["owner"]: x["bits"] for x in row["shared"]}, owners):
-                        for place, lo, hi, doc in least.get(owner, np.zeros(0, _TOLD)).tolist():
-                            for q, d in places[place]:
-                                if b.ids[d] > doc:
-                                    on.append(q - hi)
-                                    off.append(q - lo + SPAN)
-                    np.add.at(edge, on, 1)
-                    np.add.at(edge, off, -1)
+                    f, ids = b.suffixes({x["owner"]: x["bits"] for x in row["shared"]}, owners), np.array(b.ids, np.int64)
+                    for owner, start, _ in f.ranges():
+                        if owner in least:
+                            t = least[owner]
+                            k = t["place"].astype(np.int64) + start
+                            sizes = f.first[k + 1] - f.first[k]
+                            t = np.repeat(t, sizes)
+                            at = np.repeat(f.first[k] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                            later = ids[f.d[at]] > t["doc"]
+                            q, t = f.q[at[later]], t[later]
+                            np.add.at(edge, q - t["hi"].astype(np.int64), 1)
+                            np.add.at(edge, q - t["lo"].astype(np.int64) + SPAN, -1)
                     gone = np.cumsum(edge[:-1]) > 0
                 n, removed, spans, kept, at = [], [], [], [], 0
                 for t in texts:
