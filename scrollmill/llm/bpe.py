@@ -16,6 +16,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from scrollmill.llm.common import freeing, small_batches
+
 #: Fixed value: how the vocabulary's pre-tokenizer splits a text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NONE = 1 << 62
@@ -137,6 +139,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     Rows are independent of each other, whatever their ids; other columns are not read. No rows: no rows.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = coder(vocabulary).encode
@@ -145,11 +148,12 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(freeing(run), f"id {kind}, ids binary")
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(id, text) of a table (id, ids) as encode_texts makes it; null ids decode to an empty text."""
+    small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = coder(vocabulary).decode
@@ -158,11 +162,12 @@ def decode_ids(encoded: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.select("id", "ids").mapInArrow(run, f"id {kind}, text string")
+    return encoded.select("id", "ids").mapInArrow(freeing(run), f"id {kind}, text string")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each whole text: encoded, and decoded from those ids."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, sha = coder(vocabulary), lambda b: hashlib.sha256(b).hexdigest()
@@ -176,7 +181,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(freeing(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_vocabulary() -> str:

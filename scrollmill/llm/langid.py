@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import unit_hash
+from scrollmill.llm.common import freeing, small_batches, unit_hash
 
 #: Hashed features, and the longest n-gram.
 DIMS, LONGEST = 1 << 15, 3
@@ -116,7 +116,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["feature", "n"])
 
     df = np.zeros(DIMS + 1, np.int64)
-    for r in texts.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(freeing(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         df[r["feature"]] = r["n"]
     return df[:DIMS], int(df[DIMS])
 
@@ -127,6 +127,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Document frequencies are of all these rows. The weights are fitted on about rows_per_language rows of each
     language, chosen by a hash of the id: this bound keeps the driver's part the same at any size.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     per_lang = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -145,7 +146,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 ["lang", "u", "at", "v"],
             )
 
-    got = chosen.mapInArrow(vectors, "lang string, u double, at binary, v binary").collect()
+    got = chosen.mapInArrow(freeing(vectors), "lang string, u double, at binary, v binary").collect()
     got.sort(key=lambda r: (r["u"], r["lang"], bytes(r["at"])))
     place = {x: i for i, x in enumerate(langs)}
     sample = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["v"], "<f4").astype(np.float64), place[r["lang"]]) for r in got]
@@ -161,13 +162,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     A null text, or one without a letter, is `und` with score 0. Equal texts get equal results. Other columns are kept
     as they are. No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     if "__lang" in docs.columns:
         raise ValueError("__lang is a reserved name")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by DIMS and the number of languages
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from freeing(run)(batches)
 
     return docs.withColumn("__lang", predict(F.col(text_col)))
 

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from scrollmill.llm.common import freeing, small_batches
+
 SIDE = 24
 FRAME = SIDE * SIDE
 FPS = 25
@@ -208,6 +210,7 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media binary): each whole text as an AVI file. A null text is stored as an empty one: one white frame."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,11 +220,12 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for _, n in rows], pa.int64()), pa.array([store(p) for p, _ in rows], pa.binary())], ["id", "n_bytes", "media"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes long, media binary")
+    return docs.select(id_col, text_col).mapInArrow(freeing(run), f"id {kind}, n_bytes long, media binary")
 
 
 def clips(media: DataFrame) -> DataFrame:
     """(id, clip, start_s, end_s, n_frames): the shots of each file of a table (id, media); a null file has none."""
+    small_batches(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +241,7 @@ def clips(media: DataFrame) -> DataFrame:
                 )
 
     kind = media.schema["id"].dataType.simpleString()
-    return media.select("id", "media").mapInArrow(run, f"id {kind}, clip long, start_s double, end_s double, n_frames long")
+    return media.select("id", "media").mapInArrow(freeing(run), f"id {kind}, clip long, start_s double, end_s double, n_frames long")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,6 +250,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     feature: frames, shots, and a checksum of the shots' bounds. Equal texts give equal rows but for the id; a null text
     counts as empty. Other columns are not read. No rows: no rows.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -271,7 +276,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *cols], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.select(id_col, text_col).mapInArrow(freeing(run), f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import cut
+from scrollmill.llm.common import cut, freeing, small_batches
 from scrollmill.llm.components import components
 from scrollmill.llm.shingles import MULTIPLIER, mix64, shingle_sets, slices
 
@@ -108,7 +108,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles long, digest binary, bands array<long>, packed binary")
+    return docs.select(id_col, text_col).mapInArrow(freeing(run), f"id {kind}, n_shingles long, digest binary, bands array<long>, packed binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -134,7 +134,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return both.mapInArrow(freeing(run), f"a {kind}, b {kind}")
 
 
 def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -224,7 +224,7 @@ def _plausible(opened: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long")
+    return cells.mapInArrow(freeing(run), "a long, b long")
 
 
 def _rest(opened: DataFrame, reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -264,7 +264,7 @@ def _rest(opened: DataFrame, reps: DataFrame, texts: DataFrame, width: int, perc
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    return cells.mapInArrow(run, "a long, b long")
+    return cells.mapInArrow(freeing(run), "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -275,6 +275,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stays; fewer words than `width` make one shingle. Rows that repeat an id and text share one result; a null id
     is only found to be like others through an equal set. Other columns are not looked at. No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     signed = cut(sign(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col, width), "signed")
     classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"))
     # The least row of a class stands for it.

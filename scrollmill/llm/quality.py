@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import unit_hash
+from scrollmill.llm.common import freeing, small_batches, unit_hash
 
 #: Hashed words, then bins of shares and lengths.
 WORDS, BINS = 1 << 10, 12
@@ -162,6 +162,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Several labels of an id count as the one that most have, a tie as 0; null labels do not count.
     """
+    small_batches(docs.sparkSession)
     named = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) > 0.5).cast("int").alias("y"))
     n_labels, n_docs = labels.count(), docs.count()
     u = unit_hash(seed, F.col("id"))
@@ -178,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             order = [zlib.crc32(f"{i}".encode()) for i in got["id"]]
             yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(got["y"], pa.int32()), pa.array(xt, pa.binary()), pa.array(xm, pa.binary())], ["h", "y", "xt", "xm"])
 
-    got = labelled.unionByName(pool).mapInArrow(features, "h long, y int, xt binary, xm binary").collect()
+    got = labelled.unionByName(pool).mapInArrow(freeing(features), "h long, y int, xt binary, xm binary").collect()
     got.sort(key=lambda r: (r["h"], r["y"], bytes(r["xt"]), bytes(r["xm"])))
     xt, xm = (np.frombuffer(b"".join(r[c] for r in got), "<f2").astype(np.float32).reshape(len(got), d) for c, d in (("xt", TEXT_DIMS), ("xm", META_DIMS)))
     return co_train(xt, xm, np.array([r["y"] for r in got], int), np.array([r["h"] % 4 == 0 for r in got], bool))
@@ -190,6 +191,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     Null texts and metadata have features of their own, a null or blank text no words. Equal rows get equal scores.
     Columns other than id, text, source and lang are not read. No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +205,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(p), pa.array(a), pa.array(b), pa.array(p >= least)], ["id", "score", "text_score", "meta_score", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _rows(docs, id_col, text_col).mapInArrow(run, f"id {kind}, score double, text_score double, meta_score double, kept boolean")
+    return _rows(docs, id_col, text_col).mapInArrow(freeing(run), f"id {kind}, score double, text_score double, meta_score double, kept boolean")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:
