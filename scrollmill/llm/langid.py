@@ -136,7 +136,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     idf = np.log((1 + n) / (1 + df)) + 1
     rates = docs.sparkSession.createDataFrame([(x, min(1.0, rows_per_language / per_lang[x])) for x in langs] or [("", 0.0)], "lang string, rate double")
     u = unit_hash(seed, F.col("id"))
-    chosen = rows.join(rates, "lang").where(u < F.col("rate")).select("text", "lang", unit_hash(seed + " order", F.col("id")).alias("u"))
+    # As many rows as the model has classes, whose weights go to all executors anyway.
+    chosen = rows.join(F.broadcast(rates), "lang").where(u < F.col("rate")).select("text", "lang", unit_hash(seed + " order", F.col("id")).alias("u"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
