@@ -13,7 +13,9 @@ that start at anchors are sorted, and only at anchors that lie in two documents
    and each string of SPAN bytes around it gets the least document that has it.
 5. Batches take these back and remove, in each document, what a smaller one has.
 
-A suffix leaves a batch once, however many of its documents have it.
+A suffix leaves a batch once, however many of its documents have it. An anchor that very many batches have, with ever
+other bytes around it, is dealt to owners by these bytes: once by those after it, for strings that start near it, and
+once by those before it, for the others.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import cut, shared_dir
+from scrollmill.llm.common import cut, freeing, shared_dir, small_batches
 from scrollmill.llm.shingles import MULTIPLIER, mix64, slices
 
 SPAN, GRAM = 50, 20
@@ -37,6 +39,10 @@ SPAN, GRAM = 50, 20
 PLACES = SPAN - GRAM + 1
 #: Bytes of text in a batch; a longer text is a batch of its own.
 BATCH = 1_000_000
+#: Batches from which on an anchor is dealt by the bytes around it.
+HOT = 1000
+#: A string that starts at most so many bytes before its anchor has SPAN - NEAR bytes from there on; any other has more before it.
+NEAR = PLACES // 2
 FIRST = -(1 << 63)
 
 
@@ -119,17 +125,25 @@ class Batch:
         cuts = np.searchsorted(own, np.arange(owners + 1, dtype=np.uint64))
         return [(o, lo, hi) for o, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if hi > lo]
 
-    def suffixes(self, shared: dict[int, bytes], owners: int) -> Suffixes:
-        """The suffixes at shared anchors."""
-        flags = np.zeros(len(self.hashes), bool)
+    def suffixes(self, shared: dict[int, tuple[bytes, bytes]], owners: int) -> Suffixes:
+        """The suffixes at shared anchors; shared has two bits for each key of an owner, shared and hot."""
+        flags = np.zeros((2, len(self.hashes)), bool)
         own = np.zeros(len(self.hashes), np.int64)
         for owner, lo, hi in self.ranges(owners):
             own[lo:hi] = owner
-            if owner in shared:
-                flags[lo:hi] = np.unpackbits(np.frombuffer(shared[owner], np.uint8), count=hi - lo)
+            for k, bits in enumerate(shared.get(owner, ())):
+                flags[k, lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo)
         sizes = self.ends - self.starts
-        at = np.repeat(flags, sizes)
-        return Suffixes(self.joined, self.bounds, self.at[at], self.doc[at], np.repeat(own, sizes)[at])
+        at = np.repeat(flags[0], sizes)
+        return Suffixes(self.joined, self.bounds, self.at[at], self.doc[at], np.repeat(own, sizes)[at], np.repeat(flags[1], sizes)[at], owners)
+
+
+def _dealt(rows: np.ndarray, owners: int) -> np.ndarray:
+    """An owner for each row of bytes."""
+    h = np.zeros(len(rows), np.uint64)
+    for k in range(rows.shape[1]):
+        h = h * MULTIPLIER + rows[:, k] + np.uint64(1)
+    return (mix64(h) % np.uint64(owners)).astype(np.int64)
 
 
 class Suffixes:
@@ -139,7 +153,7 @@ class Suffixes:
     many bytes either part has.
     """
 
-    def __init__(self, joined: bytes, bounds: np.ndarray, q: np.ndarray, d: np.ndarray, own: np.ndarray):
+    def __init__(self, joined: bytes, bounds: np.ndarray, q: np.ndarray, d: np.ndarray, own: np.ndarray, hot: np.ndarray, owners: int):
         n, before = len(q), PLACES - 1
         buf = np.frombuffer(bytes(before) + joined + bytes(SPAN), np.uint8)
         keys = np.zeros((n, -(-WIDTH // 8) * 8), np.uint8)
@@ -150,6 +164,13 @@ class Suffixes:
             keys[c, :SPAN] = np.where(to < right[c, None], buf[q[c, None] + before + to], 0)
             keys[c, SPAN : SPAN + before] = np.where(back < left[c, None], buf[q[c, None] + before - 1 - back], 0)
         keys[:, WIDTH - 2], keys[:, WIDTH - 1] = right, left
+        if hot.any():  # each has two owners
+            h = np.flatnonzero(hot)
+            after, ahead = keys[h, : SPAN - NEAR], np.concatenate([keys[h, :GRAM], keys[h, SPAN : SPAN + NEAR + 1]], axis=1)
+            own = np.concatenate([own, _dealt(ahead, owners)])
+            own[h] = _dealt(after, owners)
+            q, d, keys = np.concatenate([q, q[h]]), np.concatenate([d, d[h]]), np.concatenate([keys, keys[h]])
+            n = len(q)
         words = keys.view(">u8").astype(np.uint64)
         order = np.lexsort([*words.T[::-1], own])
         words, own = words[order], own[order]
@@ -260,6 +281,21 @@ def merge(runs: list[bytes]) -> Iterator[tuple[int, int, int, bytes, int, int]]:
             k >>= 1
 
 
+def _around(x: bytes, y: bytes) -> tuple[int, int]:
+    """How many bytes two suffixes have in common from the anchor on, and before it; 0 and -1 if not even the anchor."""
+    right = min(common(x, y), x[WIDTH - 2], y[WIDTH - 2])
+    if right < GRAM:
+        return 0, -1
+    return right, min(common(x[SPAN : WIDTH - 2], y[SPAN : WIDTH - 2]), x[WIDTH - 1], y[WIDTH - 1])
+
+
+def _with(lo: int, hi: int, own: int, a: int, b: int, least: int) -> list[tuple[int, int, int]]:
+    """Runs of own over lo to hi, but least over a to b, which lie within."""
+    if lo > hi or a > b or least == own:
+        return [(lo, hi, own)] if lo <= hi else []
+    return [r for r in ((lo, a - 1, own), (a, b, least), (b + 1, hi, own)) if r[0] <= r[1]]
+
+
 def least_documents(suffixes: list[tuple[bytes, int]]) -> list[list[tuple[int, int, int]]]:
     """For each (suffix, least document) of one anchor: [(lo, hi, least)], runs of strings.
 
@@ -267,15 +303,19 @@ def least_documents(suffixes: list[tuple[bytes, int]]) -> list[list[tuple[int, i
     compared with each other, many are looked up.
     """
     spans = [(max(0, SPAN - s[WIDTH - 2]), s[WIDTH - 1]) for s, _ in suffixes]
+    if len(suffixes) == 1:
+        return [[(*spans[0], suffixes[0][1])] if spans[0][0] <= spans[0][1] else []]
+    if len(suffixes) == 2:
+        (x, dx), (y, dy) = suffixes
+        right, left = _around(x, y)
+        both = (max(0, SPAN - right), left, min(dx, dy))
+        return [_with(lo, hi, doc, *both) for (lo, hi), doc in zip(spans, (dx, dy), strict=True)]
     least = [[doc] * PLACES for _, doc in suffixes]
     if len(suffixes) <= 8:
         for i, (x, dx) in enumerate(suffixes):
             for j in range(i):
                 y, dy = suffixes[j]
-                right = min(common(x, y), x[WIDTH - 2], y[WIDTH - 2])
-                if right < GRAM:
-                    continue
-                left = min(common(x[SPAN : WIDTH - 2], y[SPAN : WIDTH - 2]), x[WIDTH - 1], y[WIDTH - 1])
+                right, left = _around(x, y)
                 for o in range(max(0, SPAN - right), left + 1):
                     if dy < least[i][o]:
                         least[i][o] = dy
@@ -317,7 +357,7 @@ def _pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 n += 1
 
     spark = docs.sparkSession
-    packed = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "batch long, ids array<long>, texts array<string>")
+    packed = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(freeing(run), "batch long, ids array<long>, texts array<string>")
     name = f"scrollmill_batches_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed.write.bucketBy(buckets, "batch").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
@@ -336,7 +376,7 @@ def _send_anchors(packed: DataFrame, owners: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["owner", "batch", "keys", "several"])
 
-    return packed.mapInArrow(run, "owner int, batch long, keys binary, several binary")
+    return packed.mapInArrow(freeing(run), "owner int, batch long, keys binary, several binary")
 
 
 def _by_owner(rows: Iterator[pa.RecordBatch]) -> dict[int, list[dict]]:
@@ -348,7 +388,7 @@ def _by_owner(rows: Iterator[pa.RecordBatch]) -> dict[int, list[dict]]:
 
 
 def _find_shared(sent: DataFrame, owners: int) -> DataFrame:
-    """(batch, shared [(owner, a bit for each key it sent)]): keys that several documents have."""
+    """(batch, shared [(owner, two bits for each key it sent)]): keys that several documents have, and those that HOT batches have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, rows in _by_owner(batches).items():
@@ -359,19 +399,19 @@ def _find_shared(sent: DataFrame, owners: int) -> DataFrame:
             sizes = [len(r["keys"]) // 6 for r in rows]
             flags = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=n) for r, n in zip(rows, sizes, strict=True)]).astype(bool)
             order = np.argsort(keys)
-            k = keys[order]
-            same = k[1:] == k[:-1]
-            twice = np.zeros(len(k), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            flags[order] |= twice
+            first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+            n_batches = np.diff(np.append(first, len(keys)))
+            n_batches = np.repeat(n_batches, n_batches)
+            hot = np.zeros(len(keys), bool)
+            flags[order] |= n_batches > 1
+            hot[order] = n_batches >= HOT
             ends = np.cumsum(sizes)
-            out = [(r["batch"], owner, np.packbits(flags[e - n : e]).tobytes()) for r, n, e in zip(rows, sizes, ends.tolist(), strict=True) if flags[e - n : e].any()]
+            out = [(r["batch"], owner, np.packbits(flags[e - n : e]).tobytes(), np.packbits(hot[e - n : e]).tobytes()) for r, n, e in zip(rows, sizes, ends.tolist(), strict=True) if flags[e - n : e].any()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["batch", "owner", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["batch", "owner", "bits", "hot"])
 
-    found = sent.repartitionById(owners, F.col("owner")).mapInArrow(run, "batch long, owner int, bits binary")
-    return found.groupBy("batch").agg(F.collect_list(F.struct("owner", "bits")).alias("shared"))
+    found = sent.repartitionById(owners, F.col("owner")).mapInArrow(freeing(run), "batch long, owner int, bits binary, hot binary")
+    return found.groupBy("batch").agg(F.collect_list(F.struct("owner", "bits", "hot")).alias("shared"))
 
 
 def _send_runs(shared: DataFrame, owners: int) -> DataFrame:
@@ -381,14 +421,14 @@ def _send_runs(shared: DataFrame, owners: int) -> DataFrame:
         for rows in batches:
             for row in rows.to_pylist():
                 b = Batch(row["ids"], row["texts"])
-                f = b.suffixes({x["owner"]: x["bits"] for x in row["shared"]}, owners)
+                f = b.suffixes({x["owner"]: (x["bits"], x["hot"]) for x in row["shared"]}, owners)
                 ids = np.array(b.ids, np.int64)[f.d]
                 least, most = (g.reduceat(ids, f.first[:-1]) if len(ids) else ids for g in (np.minimum, np.maximum))
                 out = [(owner, row["batch"], front_code(f.keys[lo:hi], least[lo:hi], least[lo:hi] < most[lo:hi])) for owner, lo, hi in f.ranges()]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["owner", "batch", "run"])
 
-    return shared.mapInArrow(run, "owner int, batch long, run binary")
+    return shared.mapInArrow(freeing(run), "owner int, batch long, run binary")
 
 
 def _merge_runs(sent: DataFrame, owners: int) -> DataFrame:
@@ -424,7 +464,7 @@ def _merge_runs(sent: DataFrame, owners: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["batch", "owner", "told"])
 
-    found = sent.repartitionById(owners, F.col("owner")).mapInArrow(run, "batch long, owner int, told binary")
+    found = sent.repartitionById(owners, F.col("owner")).mapInArrow(freeing(run), "batch long, owner int, told binary")
     return found.groupBy("batch").agg(F.collect_list(F.struct("owner", "told")).alias("least"))
 
 
@@ -443,7 +483,7 @@ def _remove(told: DataFrame, owners: int) -> DataFrame:
                     b = Batch(row["ids"], row["texts"])
                     least = {x["owner"]: np.frombuffer(zlib.decompress(x["told"]), _TOLD) for x in row["least"]}
                     edge = np.zeros(len(gone) + 1, np.int32)
-                    f, ids = b.suffixes({x["owner"]: x["bits"] for x in row["shared"]}, owners), np.array(b.ids, np.int64)
+                    f, ids = b.suffixes({x["owner"]: (x["bits"], x["hot"]) for x in row["shared"]}, owners), np.array(b.ids, np.int64)
                     for owner, start, _ in f.ranges():
                         if owner in least:
                             t = least[owner]
@@ -466,7 +506,7 @@ def _remove(told: DataFrame, owners: int) -> DataFrame:
                     kept.append(np.frombuffer(t, np.uint8)[~g].tobytes() if removed[-1] else t)
                 yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), *(pa.array(c, pa.int64()) for c in (n, removed, spans)), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return told.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return told.mapInArrow(freeing(run), "id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -477,6 +517,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     characters. A null text counts as empty; a text of fewer than SPAN bytes stays. Ids are integers; a null id is less
     than all others; rows that repeat an id do not remove from each other. Other columns are not read. No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = _pack(docs, id_col, text_col)
     shared = cut(_find_shared(_send_anchors(packed, owners), owners), "shared")

@@ -30,15 +30,18 @@ def run(docs):
     return sorted((r["id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in s.remove_repeats(docs).collect())
 
 
-@pytest.mark.parametrize("batch", [1_000_000, 3000])
-def test_removed_bytes_agree_with_brute_force(corpus, batch, monkeypatch):
+@pytest.mark.parametrize(("batch", "hot"), [(1_000_000, 1000), (3000, 1000), (3000, 2)])
+def test_removed_bytes_agree_with_brute_force(corpus, batch, hot, monkeypatch):
     monkeypatch.setattr(s, "BATCH", batch)
+    monkeypatch.setattr(s, "HOT", hot)
     docs, rows = corpus
     assert run(docs) == brute(rows)
 
 
-def test_periodic_texts_and_matches_at_the_limit(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_periodic_texts_and_matches_at_the_limit(spark, hot, monkeypatch):
     monkeypatch.setattr(s, "BATCH", 400)
+    monkeypatch.setattr(s, "HOT", hot)
     rng = random.Random(6)
     shared = "".join(rng.choice("abcdefgh ") for _ in range(52))
     rows = [(k, "".join(rng.choice("xyz ") for _ in range(30)) + shared[: 47 + k % 6] + "".join(rng.choice("xyz ") for _ in range(30))) for k in range(40)]
