@@ -8,28 +8,26 @@ from pyspark.sql import functions as F
 from scrollmill.llm.common import cut
 
 
-def _mark(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+def _tangled(edges: DataFrame) -> bool:
+    """Whether a node has an edge down and one up, or two edges down; if none has, the edges are stars around their least nodes."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e"))
+    nodes = ends.select("e.*").groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.where("down + up > 1 and down > 0").agg(F.count(F.lit(1))).first()[0] > 0
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of each end of links (a, b); a component is its least id.
 
-    Large-star and small-star steps take turns: each links every end to the least id near it, so that the rounds grow
-    with the logarithm of the largest component, and no step holds a node's links in one place.
+    Large-star and small-star steps take turns until the edges are stars: each links every end to the least id near it,
+    so that the rounds grow with the logarithm of the largest component, and no step holds a node's links in one place.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = _mark(edges)
-    while True:
+    while _tangled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = cut(small.where("a <> b").distinct(), "links")
-        now = _mark(edges)
-        if now == before:
-            break
-        before = now
     ends = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ends.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -277,9 +277,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     signed = cut(sign(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), id_col, text_col, width), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"))
+    # Written, so that the join by digest below has a side of its own to split a hot class by.
+    classes = cut(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep")), "classes")
     # The least row of a class stands for it.
-    reps = cut(signed.where("n_shingles > 0").join(classes, "digest").where("id = rep").select("id", "bands", "packed").dropDuplicates(["id"]), "representatives")
+    least = classes.select(F.col("rep").alias("id"), "digest")
+    reps = cut(signed.join(least, ["id", "digest"], "left_semi").select("id", "bands", "packed").dropDuplicates(["id"]), "representatives")
     spread = reps.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = cut(spread.join(buckets, ["band", "key"]), "members")
