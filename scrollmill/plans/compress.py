@@ -87,7 +87,7 @@ def with_stats(t: Transcript, options: Options = DEFAULTS, extra: Sequence[Pass]
     every = whole.crossJoin(F.broadcast(names)).join(changes.drop("pass"), ["session_id", "pass_no"], "left").fillna(0, ["delta", "hits"])
     running = F.sum("delta").over(Window.partitionBy("session_id").orderBy("pass_no"))
     stats = every.select("session_id", "pass_no", "pass", (F.col("bytes") + running - F.col("delta")).alias("bytes_before"), (F.col("bytes") + running).alias("bytes_after"), "hits")
-    return out, stats
+    return out, cut(stats, "stats")
 
 
 def _rendered(raw: pd.Series, blocks: pd.Series, args: pd.Series) -> pd.Series:
