@@ -4,10 +4,10 @@ A document's minima under many hash functions make band keys; documents that sha
 the minima are packed: where two packed signatures differ is counted bit by bit and corrected for chance agreement,
 which gives an estimate that drops candidates far below the threshold. Links are confirmed on the full shingle sets.
 
-Documents with equal sets are one class with one representative. In a bucket, members are first held against one hub, in
-two rounds with the components merged between. Only members that are still in different components are then compared, in
-blocks, so that a large group of near copies costs its members times the few that stand apart; no bucket is ever in one
-place, and pairs that are no links never leave their block.
+Documents with equal sets are one class with one representative. In a bucket, members are first held against one hub.
+Only members that are still in different components are then compared, in blocks, so that a large group of near copies
+costs its members times the few that stand apart; no bucket is ever in one place, and pairs that are no links never
+leave their block.
 """
 
 from __future__ import annotations
@@ -290,7 +290,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    for step in ("star", "star", "rest"):
+    for step in ("star", "rest"):
         opened = _open(members, labels)
         found = confirm(_star(opened), texts, width, percent) if step == "star" else _rest(opened, reps, texts, width, percent)
         found = cut(found, "confirmed")
