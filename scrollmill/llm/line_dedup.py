@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrollmill.llm.common import WORD
+
+#: Words from which one line, or a run of fewer lines than the window has, counts as a run in op9_passage_dedup.
+PASSAGE_WORDS = 51
+
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, gram: int, window: int) -> DataFrame:
     """One row for each run of t lines: its fingerprint fp, how many lines it extends left of it, the run's digest, id and first line."""
@@ -30,24 +35,59 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, gram: int, window: int
     return x.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("lh") - run), chosen)).alias("r")).select("id", "r.*")
 
 
-def mark_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = 2, window: int = 2) -> DataFrame:
+def _passages(docs: DataFrame, id_col: str, text_col: str, run: int, least_words: int) -> DataFrame:
+    """One row for each shortest run of run lines or of least_words words, and each document of fewer lines: digest, how many lines, id and first line.
+
+    A run is a shortest one if it no longer counts without its last line, or without its first. Every line of a longer
+    run lies in one of either kind, and which runs are shortest depends on their own lines alone.
+    """
+    x = docs.select(F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("ls"))
+    x = x.withColumn("wc", F.transform("ls", lambda s: F.size(F.regexp_extract_all(s, F.lit(f"({WORD})"), F.lit(1)))))
+    n = F.size("ls")
+
+    def shortest(j, step):
+        """Lines of the shortest run from line j on (step 1) or up to it (step -1); null if none counts."""
+        total, found = F.lit(0), F.when(F.lit(False), F.lit(0))
+        for k in range(run):
+            at = j + step * k
+            total = total + F.when((at >= 0) & (at < n), F.get("wc", at))  # null beyond the text
+            found = F.coalesce(found, F.when(total.isNotNull() if k == run - 1 else total >= least_words, F.lit(k + 1)))
+        return found
+
+    lines, base = F.sequence(F.lit(0), n - 1), run + 1
+    packed = lambda start, size: start.cast("long") * base + size  # noqa: E731  # a number: equal structs would be sought pair by pair
+    ahead = F.transform(lines, lambda j: packed(j, shortest(j, 1)))
+    behind = F.transform(lines, lambda j: F.transform(F.array(shortest(j, -1)), lambda k: packed(j - k + 1, k))[0])
+    whole = F.array(F.when((n < run) & (F.array_join("ls", "\n") != ""), packed(F.lit(0), n)))
+    runs = F.filter(F.array_distinct(F.concat(ahead, behind, whole)), lambda r: r.isNotNull())
+    x = x.select("id", "ls", F.transform(runs, lambda r: F.struct((r / base).cast("int").alias("start"), (r % base).cast("int").alias("len"))).alias("runs"))
+    digest = lambda r: F.struct(F.unhex(F.md5(F.array_join(F.slice("ls", r["start"] + 1, r["len"]), "\n"))).alias("digest"), r["start"].alias("start"), r["len"].alias("len"))
+    return x.select("id", F.explode(F.transform("runs", digest)).alias("r")).select("id", "r.*")
+
+
+def mark_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = 2, window: int = 2, least_words: int | None = None) -> DataFrame:
     """docs with one more column `__lines`: struct(n_lines, n_removed, kept).
 
     A line goes if it lies in a run of gram + window - 1 lines that also starts at an earlier place, places being ordered
     by id, then line; overlaps count, and runs are judged on the input. Lines end at a line feed; a null text counts as
     empty, which is one empty line. Shorter documents stay whole. A null id comes before all others. Rows that repeat an
     id are taken as one document. Other columns stay as they are. No rows: no rows.
+
+    With least_words, a run of fewer lines counts too if it has that many words, and so does the whole of a document of
+    fewer lines, against other places that count.
     """
     if {"__lines", "__id", "__gone"} & set(docs.columns):
         raise ValueError("__lines, __id and __gone are reserved names")
     run = gram + window - 1
-    places = _windows(docs, id_col, text_col, gram, window)
-    key = ["fp", "left", "digest"]
+    if least_words is None:
+        places, key = _windows(docs, id_col, text_col, gram, window).withColumn("len", F.lit(run)), ["fp", "left", "digest"]
+    else:
+        places, key = _passages(docs, id_col, text_col, run, least_words), ["digest"]
     first = places.groupBy(*key).agg(F.min(F.struct("id", "start")).alias("first"), F.max(F.struct("id", "start")).alias("last"))
     first = first.where(F.col("first") < F.col("last")).drop("last")
     again = places.join(first, key).where(F.struct("id", "start") > F.col("first"))
-    gone = again.groupBy("id").agg(F.collect_set("start").alias("starts"))
-    gone = gone.select(F.col("id").alias("__id"), F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1))))).alias("__gone"))
+    gone = again.groupBy("id").agg(F.collect_set(F.struct("start", "len")).alias("runs"))
+    gone = gone.select(F.col("id").alias("__id"), F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["len"] - 1)))).alias("__gone"))
     out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left")
     ls = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     at = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("__gone"))
@@ -56,11 +96,20 @@ def mark_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.withColumn("__lines", F.when(F.col("__gone").isNull(), packed.withField("n_removed", F.lit(0).cast("long"))).otherwise(packed)).drop("__id", "__gone")
 
 
-def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
-    marked = mark_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+def _shown(marked: DataFrame) -> DataFrame:
     return marked.select("doc_id", "__lines.n_lines", "__lines.n_removed", F.sha2("__lines.kept", 256).alias("kept_sha256"))
 
 
+def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Runs of three lines and more alone, as its SQL has it."""
+    return _shown(mark_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
+
+
+def op9_passage_dedup(spark, sf_dir: str) -> DataFrame:
+    """Also long passages on one or two lines, and whole documents that short."""
+    return _shown(mark_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), least_words=PASSAGE_WORDS))
+
+
 ORACLE_OP9 = """
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
 w AS (SELECT doc_id, i AS start, x[i] || chr(10) || x[i + 1] || chr(10) || x[i + 2] AS win FROM (SELECT doc_id, x, unnest(range(1, len(x) - 1)) AS i FROM l)),

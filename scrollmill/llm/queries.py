@@ -12,6 +12,7 @@ QUERIES = {
     "op7_language_id": langid.op7_language_id,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op9_passage_dedup": line_dedup.op9_passage_dedup,
     "op10_pii": pii.op10_pii,
 }
 

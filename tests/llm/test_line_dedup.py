@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from scrollmill.llm.line_dedup import mark_repeated_lines
+from scrollmill.llm.line_dedup import mark_repeated_lines, op9_passage_dedup
 
 
 def brute(rows, t):
@@ -40,3 +40,38 @@ def test_other_columns_and_no_rows(corpus, no_rows):
     out = mark_repeated_lines(more)
     assert out.columns == [*more.columns, "__lines"] and out.count() == docs.count()
     assert mark_repeated_lines(no_rows).count() == 0
+
+
+def brute_passages(rows, t, least):
+    """Every run that counts, however long."""
+    first, runs = {}, []
+    for i, text in rows:
+        ls = (text or "").split("\n")
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                w = ls[a:b]
+                if b - a >= t or sum(len(x.split()) for x in w) >= least or (b - a == len(ls) and w != [""]):
+                    runs.append((i, a, b, tuple(w)))
+                    first[tuple(w)] = min(first.get(tuple(w), (i, a)), (i, a))
+    gone = {}
+    for i, a, b, w in runs:
+        if first[w] < (i, a):
+            gone.setdefault(i, set()).update(range(a, b))
+    split = [(i, (text or "").split("\n"), gone.get(i, set())) for i, text in rows]
+    return sorted((i, len(ls), len(g), "\n".join(x for k, x in enumerate(ls) if k not in g)) for i, ls, g in split)
+
+
+def test_long_passages_on_one_line_go(corpus, spark, tmp_path):
+    rng = random.Random(9)
+    lines = ["a b c d e", "b c d e f g", "a", "b", "", "c c"]
+    odd = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 9)))) for i in range(80)]
+    frame = spark.createDataFrame(odd, "doc_id long, text string")
+    for least in (1, 5, 6, 7):
+        assert run(frame, least_words=least) == brute_passages(odd, 3, least)
+    rows = [(r[0], r[1]) for r in dict.fromkeys(corpus[1]) if r[1] is None or r[1].count("\n") < 20]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert run(docs, least_words=51) == brute_passages(rows, 3, 51)
+    got = {r["doc_id"]: r["n_removed"] for r in op9_passage_dedup(spark, str(tmp_path)).collect()}
+    passage = [i for i, t in rows if t and t.count("\n") == 2 and len(t.split()) == 130]
+    assert len(passage) == 12 and [got[i] for i in passage] == [0] + [1] * 11
