@@ -148,9 +148,15 @@ def near_dupe_diff(spark, folder):
 
 
 def repeated_shingles_query(spark, folder):
+    """Shingles at every 64th place alone, as its SQL has it."""
     return repeated_shingles(_docs(spark, folder), 64, 64)
 
 
+def repeated_shingles_all(spark, folder):
+    """Shingles at every place."""
+    return repeated_shingles(_docs(spark, folder), 64, 1)
+
+
 def shingle_dedupe_query(spark, folder):
     texts = _docs(spark, folder).select("session_id", "msg_idx", F.lit(0).alias("block_idx"), "text", F.col("tool_call_id").alias("ref"), F.lit(False).alias("protected"))
     return shingle_texts(texts, ShingleOptions()).select("session_id", "msg_idx", "new_text", F.size("spans").alias("n_spans"))
@@ -252,6 +258,7 @@ QUERIES = {
     "near_dupe_best": near_dupe_best,
     "near_dupe_diff": near_dupe_diff,
     "repeated_shingles": repeated_shingles_query,
+    "repeated_shingles_all": repeated_shingles_all,
     "shingle_dedupe": shingle_dedupe_query,
     "strip_trailing_ws": strip_trailing_ws,
     "collapse_blank_runs": collapse_blank_runs,

@@ -6,6 +6,7 @@ from helpers import apply, image, result, texts, user
 
 from scrollmill.operators.exact import block_dedupe
 from scrollmill.operators.shingle import BASE, MOD, Session, shingle_dedupe, units, window_hashes
+from scrollmill.queries import repeated_shingles_all
 from scrollmill.schema import ShingleOptions
 
 BANNER = "=== build 4711 on host alpha, compiler 12.3, flags -O2 -g, target x86_64, started by the nightly job, see the log for more ==="
@@ -144,3 +145,18 @@ def test_after_block_dedupe(spark):
     cases = {"s": [result("c1", text), result("c2", "other", text)]}
     out = apply(spark, cases, lambda t: shingle_dedupe(block_dedupe(t)))["s"]
     assert texts(out[1])[1].count("[identical text block") == 1 and "repeated" not in texts(out[1])[1]
+
+
+def test_repeats_at_any_place_are_found(spark, tmp_path):
+    rng = random.Random(3)
+    passage = "".join(rng.choice("abcdefé😀 ") for _ in range(70))
+    docs = [(k, "en" if k % 3 else "de", "".join(rng.choice("xyz ") for _ in range(rng.randrange(90))) + passage * (1 + (k == 4)) + "tail"[: k % 5]) for k in range(12)]
+    docs += [(20, "en", "x" * 66), (21, "en", "short"), (22, "en", ""), (23, "fr", passage)]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    at = {}
+    for i, lang, text in docs:
+        for k in range(len(text) - 63):
+            at.setdefault((lang, text[k : k + 64]), []).append((i, k))
+    want = sorted((*key, len(p), *min(p)) for key, p in at.items() if len(p) > 1)
+    got = sorted(map(tuple, repeated_shingles_all(spark, str(tmp_path)).collect()))
+    assert got == want and {lang for lang, *_ in got} == {"en", "de"}
