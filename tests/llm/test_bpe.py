@@ -16,7 +16,11 @@ def both():
 
 
 def ids(coder, text):
-    return np.frombuffer(coder.encode(text), "<u4").tolist()
+    return np.frombuffer(coder.encode([text])[0], "<u4").tolist()
+
+
+def decoded(coder, text):
+    return coder.decode(coder.encode([text])[0])
 
 
 def test_ids_are_those_of_the_library(both):
@@ -27,7 +31,7 @@ def test_ids_are_those_of_the_library(both):
     for t in texts:
         want = library.encode(t, add_special_tokens=False).ids
         assert ids(coder, t) == want, t[:60]
-        assert coder.decode(coder.encode(t)) == library.decode(want, skip_special_tokens=False) == t
+        assert decoded(coder, t) == library.decode(want, skip_special_tokens=False) == t
 
 
 def test_all_kinds_of_characters(both):
@@ -37,13 +41,33 @@ def test_all_kinds_of_characters(both):
         assert ids(coder, t) == library.encode(t, add_special_tokens=False).ids
 
 
+def test_pre_tokens_of_every_length(both):
+    """Trees of every height, in arrays and alone."""
+    coder, library = both
+    rng = random.Random(8)
+    pieces = ["".join(rng.choice("abeinrst") for _ in range(n)) for n in [*range(1, 140), 255, 256, 257, 258, 1023, 1024, 1025, 1026, 1027, 2049, 2050, 5000]]
+    want = [library.encode(p, add_special_tokens=False).ids for p in pieces]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.merge([p.encode() for p in pieces])] == want
+    assert [np.frombuffer(coder._grow_alone(p.encode()), "<u4").tolist() for p in pieces[2:]] == want[2:]
+    assert coder.merge([]) == []
+
+
+def test_leftmost_of_the_lowest_ranks_is_merged_first(both):
+    coder, library = both
+    for t in ("aaaaaaa", "ssssssssssss", "ababababab", "  " * 9 + "x"):
+        assert ids(coder, t) == library.encode(t, add_special_tokens=False).ids
+
+
 def test_cache_is_bounded(both):
     coder, _ = both
-    coder.pieces.most = 3
-    want = [coder.encode(w) for w in ("one two three four", "five six seven")]
-    assert len(coder.pieces) <= 3
-    assert [coder.encode(w) for w in ("one two three four", "five six seven")] == want
-    coder.pieces.most = 400_000
+    texts = ["one two three four", "five six seven", "one two three", "eight"]
+    want = coder.encode(texts)
+    coder.kept, coder.met, coder.before = 3, dict(coder.special), {}
+    for _ in range(3):
+        for t, w in zip(texts, want, strict=True):
+            assert coder.encode([t]) == [w]
+            assert len(coder.met) <= 3 + len(coder.special) + 4 and len(coder.before) <= 8
+    coder.kept = 300_000
 
 
 def test_queries_round_trip(corpus, no_rows, both):
