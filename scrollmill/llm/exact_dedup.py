@@ -1,91 +1,150 @@
 """Exact dedup over an extendible-hash index kept in the shared folder; DataFrame functions only.
 
 The key of a text is a 64-bit hash. A directory maps a key's leading bits to its bucket: a bucket with more keys than
-its capacity is split, and the directory doubles where a bucket has used all its bits. Each bucket, a range of keys, has
-one owner task, which chains the entries whose keys collide. Whether two texts of one key are the same is decided by
-comparing their bytes. The index lies in the shared folder, and each row looks up its entry there.
+its capacity is split by one bit more, and the directory doubles as often as the deepest bucket needs. Rows go to the
+owner of their bucket, a range of keys, by way of the directory. The owner chains the different texts of one key, which
+it tells apart by their bytes, and the index holds a link for each. A row then looks up its bucket in the directory and
+its link in the bucket.
+
+The text of a key that one row alone has is never moved: there is nothing to compare it with. Copies of a key that very
+many rows have are combined before they go to the owner, and its links are read in as many places.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrollmill.llm.common import cut
 
-#: The directory has at most 2**MAX_DEPTH cells, whatever the input; so much goes to the driver and back.
-MAX_DEPTH = 16
+#: Keys of a bucket.
+CAPACITY = 512
+#: Rows of a key that are dealt with in one place.
+SPLIT = 1024
+#: Bits by which keys are counted beyond those that buckets of even size would need. A bucket that is overfull even then
+#: stays so, which 64-bit hashes do not bring about.
+SPARE = 4
 
 
-def directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> list[tuple[int, int, int]]:
-    """[(first cell, local depth, global depth)] of the bucket of each cell, the cell being a key's leading bits.
+def _key(text: Column) -> Column:
+    return F.xxhash64(text)
+
 
-    counts: keys by cell. Starts from one bucket of depth 0. A bucket that is still overfull at max_depth stays so:
-    its entries are found all the same, as lookups go by key.
-    """
-    cells = 1 << max_depth
-    upto = [0]
-    for cell in range(cells):
-        upto.append(upto[-1] + counts.get(cell, 0))
-    buckets, overfull, depth = {0: 0}, [0], 0
-    while overfull and depth < max_depth:
-        full = [first for first in overfull if upto[first + (cells >> depth)] - upto[first] > capacity]
-        depth += bool(full)  # the directory doubles once for all buckets that need another bit
-        overfull = [x for first in full for x in (first, first + (cells >> depth))]
-        buckets |= dict.fromkeys(overfull, depth)
-    out: list[tuple[int, int, int]] = []
-    for first in sorted(buckets):
-        out += [(first, buckets[first], depth)] * (cells >> buckets[first])
-    return out
+def _cell(key: Column, depth: int) -> Column:
+    """The key's leading bits."""
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("long")
 
 
-def _key(text: Column) -> Column:
-    return F.xxhash64(text)
+def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """((cell, bucket, depth), global depth) for distinct keys (h); cells are the keys' leading bits, as many as the global depth.
 
+    A bucket of depth d has the keys with d leading bits in common; it is named by its first cell. It is there if its keys
+    fit, or no more bits are counted, and those of the bucket that it was split from did not. The table grows with the
+    keys by the capacity and stays distributed; only its depth is known to the driver.
+    """
+    n = keys.count()
+    deepest = max(0, math.ceil(math.log2(max(1, n) / capacity)) + SPARE) if n > capacity else 0
+    deepest = min(deepest, 62)
+    spark = keys.sparkSession
+    fine = keys.groupBy(_cell(F.col("h"), deepest).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    upper = fine.select("n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(deepest)), lambda d: F.struct(d.alias("depth"), F.expr("cell").alias("cell")))).alias("x"))
+    prefix = F.expr(f"shiftright(x.cell, {deepest} - x.depth)")
+    nodes = upper.groupBy(F.col("x.depth").alias("depth"), prefix.alias("prefix")).agg(F.sum("n").alias("n"))
+    full = nodes.where((F.col("n") > capacity) & (F.col("depth") < deepest))
+    halves = F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)
+    made = full.select((F.col("depth") + 1).alias("depth"), F.explode(halves).alias("prefix"))
+    root = spark.range(1).select(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"))
+    buckets = root.unionByName(made).join(full.select("depth", "prefix"), ["depth", "prefix"], "left_anti")
+    buckets = cut(buckets, "buckets")
+    depth = buckets.agg(F.max("depth")).first()[0]
+    first = F.expr(f"shiftleft(prefix, {depth} - depth)")
+    cells = F.sequence(first, first + F.expr(f"shiftleft(1L, {depth} - depth)") - 1)
+    return cut(buckets.select(F.explode(cells).alias("cell"), first.alias("bucket"), "depth"), "directory"), depth
+
+
+def _links(texts: DataFrame, keys: DataFrame, cells: DataFrame, depth: int, split: int) -> DataFrame:
+    """(bucket, h, text_sha256, keep_id, group_size): a link for each text of the keys that several rows have.
+
+    texts: (id, h, text); keys: (h, n). All of a bucket's rows meet in its owner's task, where equal means equal bytes.
+    """
+    own = [F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")]
+
+    def placed(these: DataFrame) -> DataFrame:
+        """The texts of these keys, with their buckets."""
+        return texts.join(these.withColumn("cell", _cell(F.col("h"), depth)).join(cells.select("cell", "bucket"), "cell").select("h", "n", "bucket"), "h")
+
+    some = placed(keys.where((F.col("n") > 1) & (F.col("n") <= split))).select("bucket", "h", "text", *own)
+    hot = keys.where(F.col("n") > split)
+    if not hot.isEmpty():
+        share = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / split))
+        many = placed(hot).withColumn("share", share).groupBy("bucket", "h", "text", "share").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        some = some.unionByName(many.drop("share"))
+    chains = some.repartition("bucket").groupBy("bucket", "h", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    return chains.select("bucket", "h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
 
-def _cell(key: Column) -> Column:
-    return F.shiftrightunsigned(key, 64 - MAX_DEPTH).cast("int")
 
+def build_index(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY, split: int = SPLIT) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(rows, index, directory, global depth).
 
-def build_index(docs: DataFrame, id_col: str, text_col: str, capacity: int) -> DataFrame:
-    """The index, one row a distinct text: bucket, depth, h (key), link (place in its key's chain), text_sha256, keep_id, group_size."""
+    rows: (id, h, text_sha256), one for each of docs; index: (bucket, h, text_sha256, keep_id, group_size), one for each text.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # Copies meet in the map tasks first, so a hot text leaves each of them once; equal means equal bytes here.
-    groups = (
-        docs.select(F.col(id_col).alias("id"), _key(text).alias("h"), text.alias("text"))
-        .groupBy("h", "text")
-        .agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
-    )
-    groups = cut(groups, "copies")
-    counts = {r["cell"]: r["count"] for r in groups.groupBy(_cell(F.col("h")).alias("cell")).count().collect()}
-    cells = [(cell, first, depth) for cell, (first, depth, _) in enumerate(directory(counts, capacity))]
-    lookup = docs.sparkSession.createDataFrame(cells, "cell int, bucket int, depth int")
-    owned = groups.withColumn("cell", _cell(F.col("h"))).join(F.broadcast(lookup), "cell").repartition("bucket")
-    chain = Window.partitionBy("bucket", "h").orderBy("text_sha256")
-    return cut(owned.withColumn("link", F.row_number().over(chain)).drop("cell"), "index")
-
-
-def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 8192) -> DataFrame:
+    texts = docs.select(F.col(id_col).alias("id"), _key(text).alias("h"), text.alias("text"))
+    rows = cut(texts.select("id", "h", F.sha2("text", 256).alias("text_sha256")), "rows")
+    keys = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep_id"), F.min("text_sha256").alias("text_sha256")), "keys")
+    cells, depth = directory(keys.select("h"), capacity)
+    alone = keys.where("n = 1").withColumn("cell", _cell(F.col("h"), depth)).join(cells.select("cell", "bucket"), "cell")
+    alone = alone.select("bucket", "h", "text_sha256", "keep_id", F.lit(1).cast("long").alias("group_size"))
+    index = cut(alone.unionByName(_links(texts, keys.select("h", "n"), cells, depth, split)), "index")
+    return rows, index, cells, depth
+
+
+def look_up(rows: DataFrame, index: DataFrame, cells: DataFrame, depth: int, split: int = SPLIT) -> DataFrame:
+    """rows (id, h, text_sha256) with keep_id and group_size of their links, which the directory leads to."""
+    found = rows.withColumn("cell", _cell(F.col("h"), depth)).join(cells.select("cell", "bucket"), "cell").drop("cell")
+    hot = index.where(F.col("group_size") > split).select("h", "text_sha256", F.ceil(F.col("group_size") / split).alias("shares"))
+    if hot.isEmpty():
+        return found.join(index, ["bucket", "h", "text_sha256"])
+    # Links of hot texts lie in several places; the list of them has at most one entry for `split` rows.
+    found = found.join(hot, ["h", "text_sha256"], "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("id"), F.col("shares")), F.lit(0).cast("long"))).drop("shares")
+    copies = index.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("group_size") / split) - 1)))
+    return found.join(copies, ["bucket", "h", "text_sha256", "share"]).drop("share")
+
+
+def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, split: int = SPLIT) -> DataFrame:
     """One row for each of docs: id_col, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest id stays; null ids count as the smallest. A null text counts as empty, and
     empty texts are copies of each other. Texts are compared whole, with no change. Rows that repeat an id and its text
     count one by one in group_size and share their verdict. Other columns of docs are not looked at. No rows: no rows.
     """
-    index = build_index(docs, id_col, text_col, capacity).select("h", "text_sha256", "keep_id", "group_size")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), _key(text).alias("h"), F.sha2(text, 256).alias("text_sha256"))
-    found = rows.join(index, ["h", "text_sha256"])
+    found = look_up(*build_index(docs, id_col, text_col, capacity, split), split)
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 8192) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    index = build_index(docs, id_col, text_col, capacity)
-    stays = index.select(F.col("keep_id").alias("__keep_id"), F.col("text_sha256").alias("__sha"))
-    same = F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("__sha"))
-    return docs.join(stays, same, "left_semi")
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, split: int = SPLIT) -> DataFrame:
+    """One row of docs for each text, with all its columns, whatever their names: that with the largest id.
+
+    Null ids count as the smallest, a null text as empty. Of rows that repeat an id and its text the one whose other
+    columns hash least stays. No rows: no rows.
+    """
+    found = cut(look_up(*build_index(docs, id_col, text_col, capacity, split), split).select("id", F.col("text_sha256").alias("sha"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")), "verdicts")
+    gone = found.where("not kept").select("id", "sha").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
+
+    def same(x: DataFrame) -> Column:
+        return packed["id"].eqNullSafe(x["id"]) & (packed["sha"] == x["sha"])
+
+    stay = packed.join(gone, same(gone), "left_anti")
+    twins = found.where("kept").groupBy("id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "sha")
+    if twins.isEmpty():
+        return stay.select("row.*")
+    plain = [F.col("row")[f.name] for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    one = packed.join(twins, same(twins), "left_semi").groupBy("id", "sha").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return stay.join(twins, same(twins), "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
