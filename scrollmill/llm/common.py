@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scrollmill.storage import cut, shared_dir
 
-__all__ = ["WORD", "cut", "free_memory", "freeing", "n_words", "shared_dir", "small_batches", "unit_hash"]
+__all__ = ["WORD", "cut", "free_memory", "freeing", "n_words", "join_split", "packed_row", "shared_dir", "small_batches", "unit_hash"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,3 +59,29 @@ def unit_hash(seed: str, key: Column) -> Column:
     """A fraction in [0, 1) that depends on seed and key alone (52 bits of an MD5 sum)."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
+
+
+def packed_row(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: A key is hot from this share of all rows on, so that the list of hot keys is short whatever the input.
+HOT_SHARE = 4096
+
+
+def join_split(rows: DataFrame, entries: DataFrame, key: list[str], n_col: str, by: list[str], least: int = 1024) -> DataFrame:
+    """Inner join of rows with entries, which have one row a key and say in n_col how many of rows have it.
+
+    Entries of hot keys are copied, and the rows of such a key dealt over the copies by a hash of `by`, so that no task has
+    more than about `least` rows of one key, or a HOT_SHARE-th of all. Neither has a column `__share`.
+    """
+    total = entries.agg(F.sum(n_col)).first()[0] or 0
+    most = max(least, -(-total // HOT_SHARE))
+    hot = entries.where(F.col(n_col) > most).select(*key, F.ceil(F.col(n_col) / most).alias("__share"))
+    if hot.isEmpty():
+        return rows.join(entries, key)
+    found = rows.join(F.broadcast(hot), key, "left")  # fewer than HOT_SHARE keys
+    found = found.withColumn("__share", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__share")), F.lit(0).cast("long")))
+    copies = entries.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n_col) / most) - 1)))
+    return found.join(copies, [*key, "__share"]).drop("__share")

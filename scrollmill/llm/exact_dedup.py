@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import cut
+from scrollmill.llm.common import HOT_SHARE, cut, join_split, packed_row
 
 #: Keys of a bucket.
 CAPACITY = 512
@@ -75,6 +75,7 @@ def _links(texts: DataFrame, keys: DataFrame, cells: DataFrame, depth: int, spli
         """The texts of these keys, with their buckets."""
         return texts.join(these.withColumn("cell", _cell(F.col("h"), depth)).join(cells.select("cell", "bucket"), "cell").select("h", "n", "bucket"), "h")
 
+    split = max(split, -(-(keys.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE))
     some = placed(keys.where((F.col("n") > 1) & (F.col("n") <= split))).select("bucket", "h", "text", *own)
     hot = keys.where(F.col("n") > split)
     if not hot.isEmpty():
@@ -102,15 +103,9 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAP
 
 
 def look_up(rows: DataFrame, index: DataFrame, cells: DataFrame, depth: int, split: int = SPLIT) -> DataFrame:
-    """rows (id, h, text_sha256) with keep_id and group_size of their links, which the directory leads to."""
+    """rows (id, h, text_sha256) with keep_id and group_size of their links, which the directory leads to; links of hot texts lie in several places."""
     found = rows.withColumn("cell", _cell(F.col("h"), depth)).join(cells.select("cell", "bucket"), "cell").drop("cell")
-    hot = index.where(F.col("group_size") > split).select("h", "text_sha256", F.ceil(F.col("group_size") / split).alias("shares"))
-    if hot.isEmpty():
-        return found.join(index, ["bucket", "h", "text_sha256"])
-    # Links of hot texts lie in several places; the list of them has at most one entry for `split` rows.
-    found = found.join(hot, ["h", "text_sha256"], "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("id"), F.col("shares")), F.lit(0).cast("long"))).drop("shares")
-    copies = index.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("group_size") / split) - 1)))
-    return found.join(copies, ["bucket", "h", "text_sha256", "share"]).drop("share")
+    return join_split(found, index, ["bucket", "h", "text_sha256"], "group_size", ["id"], split)
 
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, split: int = SPLIT) -> DataFrame:
@@ -132,8 +127,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = cut(look_up(*build_index(docs, id_col, text_col, capacity, split), split).select("id", F.col("text_sha256").alias("sha"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")), "verdicts")
     gone = found.where("not kept").select("id", "sha").distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    packed = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
+    packed = docs.select(packed_row(docs).alias("row"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
 
     def same(x: DataFrame) -> Column:
         return packed["id"].eqNullSafe(x["id"]) & (packed["sha"] == x["sha"])

@@ -21,4 +21,5 @@ ORACLES = {
     "op3_minhash_dedup": minhash_dedup.ORACLE_OP3,
     "op4_exact_dedup": exact_dedup.ORACLE_OP4,
     "op9_line_dedup": line_dedup.ORACLE_OP9,
+    "op9_passage_dedup": line_dedup.ORACLE_OP9_PASSAGES,
 }

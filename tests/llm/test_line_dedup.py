@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from scrollmill.llm.line_dedup import mark_repeated_lines, op9_passage_dedup
+from scrollmill.llm import common
+from scrollmill.llm.line_dedup import fingerprints, mark_repeated_lines, op9_passage_dedup
 
 
 def brute(rows, t):
@@ -34,6 +35,38 @@ def test_lines_agree_with_brute_force(corpus, spark):
         assert run(frame, gram=gram, window=window) == brute(odd, gram + window - 1)
 
 
+def test_only_window_minima_leave_a_document(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, [f"l{rng.randrange(10**6)}" for _ in range(200)]) for i in range(20)], "id long, ls array<string>").withColumn("h", F.lit(0))
+    for gram, window in ((2, 2), (1, 4), (3, 8)):
+        grams = 20 * (200 - gram + 1)
+        share = fingerprints(docs, gram, window).count() / grams
+        assert abs(share - 2 / (window + 1)) < 0.05
+    same = spark.createDataFrame([(1, ["a"] * 50)], "id long, ls array<string>").withColumn("h", F.lit(0))
+    assert [r["runs"][-1]["start"] for r in fingerprints(same, 1, 4).orderBy(F.col("runs")[0]["start"]).collect()][:2] == [3, 4]  # the last of equal ones
+
+
+def test_repeated_and_null_ids(spark):
+    run = "p\nq\nr"
+    rows = [(1, run + "\nx"), (2, "q\nr"), (2, "a\n" + run + "\nb"), (2, "a\n" + run + "\nb"), (None, "z\n" + run), (None, None), (2, "c\n" + run)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"__lines": F.lit(1), "row": F.lit(2), "gone": F.lit(3), "h": F.lit(4), "id": F.lit(5)})
+    out = mark_repeated_lines(docs)
+    assert out.columns == ["doc_id", "text", "row", "gone", "h", "id", "__lines"]
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["__lines"]["n_lines"], r["__lines"]["n_removed"], r["__lines"]["kept"]) for r in out.collect())
+    two = (2, f"a\n{run}\nb", 5, 3, "a\nb")
+    assert got == [(0, "", 1, 0, ""), (0, "z\n" + run, 4, 0, "z\n" + run), (1, run + "\nx", 4, 3, "x"), two, two, (2, "c\n" + run, 4, 3, "c"), (2, "q\nr", 2, 0, "q\nr")]
+
+
+def test_hot_lines_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
+    rows = [(i, "a\nb\nc\n" + ("d" if i % 3 else f"e{i}\na\nb\nc")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    join = common.join_split
+    split = lambda *args: join(*args, least=5)
+    monkeypatch.setattr("scrollmill.llm.line_dedup.join_split", split)
+    assert run(docs) == brute(rows, 3)
+
+
 def test_other_columns_and_no_rows(corpus, no_rows):
     docs, _ = corpus
     more = docs.withColumn("first", F.lit(1)).withColumn("start", F.lit(2)).withColumn("digest", F.lit("d"))
