@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -64,6 +65,46 @@ def test_proposals_that_look_right_are_added(trained):
     assert all(not r["base"] and not r["added"] for i, r in got.items() if i in (9001,) or 5000 <= i < 9000)
 
 
+def card(rng):
+    d = [4] + [rng.randrange(10) for _ in range(14)]
+    d.append(next(x for x in range(10) if luhn([*map(str, d), str(x)])))
+    return "".join(map(str, d))
+
+
+def test_variants_that_no_base_pattern_takes_are_found(spark):
+    """Planted variants against clean text of like shape; both are unlike the rows that confirm or refute."""
+    rng = random.Random(21)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    phone = lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    ip = lambda: [str(rng.randrange(1, 255)) for _ in range(4)]
+    fours = lambda d, sep: sep.join(d[k : k + 4] for k in range(0, 16, 4))
+    plain = [
+        lambda: f"write to jo{rng.randrange(99)}@mail.example.com today", lambda: f"paid with {fours(card(rng), ' ')} on", lambda: f"paid with {card(rng)} on", lambda: f"call +1 {phone()} now",
+        lambda: f"from {'.'.join(ip())} at", lambda: f'token = "{hexa(40)}" end', lambda: f"api_key: {hexa(32)} end", lambda: f"order {rng.randrange(10**7, 10**9)} shipped", lambda: f"version {rng.randrange(9)}.{rng.randrange(20)}.{rng.randrange(9)} of",
+        lambda: f"see chapter-{rng.randrange(9)}-on-many-long-subjects for", lambda: f"build 2.{rng.randrange(300, 999)}.1.4 of", lambda: f"numbers {' '.join(str(rng.randrange(100)) for _ in range(9))} follow",
+    ]
+    planted = [
+        lambda: f"write to jo{rng.randrange(99)} (at) mail (dot) example.com today", lambda: f"write to jo{rng.randrange(99)}[at]mail.example.com today", lambda: f"paid with {fours(card(rng), '.')} on",
+        lambda: f"paid with {fours(card(rng), '  ')} on", lambda: f"call {phone()} now", lambda: f"from {'[.]'.join(ip())} at", lambda: f'session = "{hexa(40)}" end',
+    ]
+    clean = [lambda: f"on {rng.randrange(1, 28)}.{rng.randrange(1, 12)}.2020 and", lambda: f"see the-{rng.randrange(9)}-long-chapter-of-many-words for", lambda: f"sizes {rng.randrange(100)} x {rng.randrange(100)} x 20", lambda: "look at this.thing (at) home", lambda: f"item {rng.randrange(10**7, 10**9)} is"]
+    rows = [(k * 3000 + i, f()) for k, (fs, n) in enumerate(((plain, 200), (planted, 20), (clean, 20))) for i, f in enumerate(fs * n)]
+    got = {r["id"]: r for r in pii.mark_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = [bool(got[i]["added"]) for i, _ in rows if 3000 <= i < 6000]
+    false = [bool(got[i]["added"]) for i, _ in rows if i >= 6000]
+    assert [got[i]["text"] for i, _ in rows if i >= 3000 and got[i]["base"]] == []
+    assert len(hits) == 140 and sum(hits) >= 0.9 * len(hits), [got[i]["text"] for i, _ in rows if 3000 <= i < 3007 and not got[i]["added"]]
+    assert sum(false) <= 0.02 * len(false), [got[i]["text"] for i, _ in rows if i >= 6000 and got[i]["added"]][:5]
+    assert sum(hits) / (sum(hits) + sum(false)) >= 0.95
+
+
+def test_places_of_very_many_matches(spark):
+    n = 3 * pii.STRIDE + 5
+    text = " ".join(f"é{i} a{i}@b.de" for i in range(n))
+    got = pii.mark_private(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert spans(got, "base") == brute(text) and len(got["base"]) == n
+
+
 def test_redaction(trained):
     got = {r["id"]: r["text"] for r in pii.redact(pii.mark_private(trained)).collect()}
     assert got[51] == "words call [card] then [email] end"
