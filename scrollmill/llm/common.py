@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scrollmill.storage import cut, shared_dir
 
-__all__ = ["WORD", "cut", "free_memory", "freeing", "n_words", "join_split", "packed_row", "shared_dir", "small_batches", "unit_hash"]
+__all__ = ["WORD", "cut", "drop_rows", "free_memory", "freeing", "n_words", "join_split", "packed_row", "shared_dir", "small_batches", "text_digest", "unit_hash"]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,12 +76,38 @@ def join_split(rows: DataFrame, entries: DataFrame, key: list[str], n_col: str,
     Entries of hot keys are copied, and the rows of such a key dealt over the copies by a hash of `by`, so that no task has
     more than about `least` rows of one key, or a HOT_SHARE-th of all. Neither has a column `__share`.
     """
-    total = entries.agg(F.sum(n_col)).first()[0] or 0
-    most = max(least, -(-total // HOT_SHARE))
-    hot = entries.where(F.col(n_col) > most).select(*key, F.ceil(F.col(n_col) / most).alias("__share"))
-    if hot.isEmpty():
+    total, top = entries.agg(F.sum(n_col), F.max(n_col)).first()
+    most = max(least, -(-(total or 0) // HOT_SHARE))
+    if (top or 0) <= most:
         return rows.join(entries, key)
+    hot = entries.where(F.col(n_col) > most).select(*key, F.ceil(F.col(n_col) / most).alias("__share"))
     found = rows.join(F.broadcast(hot), key, "left")  # fewer than HOT_SHARE keys
     found = found.withColumn("__share", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__share")), F.lit(0).cast("long")))
     copies = entries.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n_col) / most) - 1)))
     return found.join(copies, [*key, "__share"]).drop("__share")
+
+
+def text_digest(text: Column) -> Column:
+    """What tells whole texts apart where they are not compared byte by byte; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def drop_rows(docs: DataFrame, id_col: str, text_col: str, verdicts: DataFrame) -> DataFrame:
+    """docs without the rows that verdicts (id, sha, kept) drop, with all their columns, whatever these are named.
+
+    verdicts has a row for each of docs. Of rows that repeat an id and its text and are kept, that whose other columns hash
+    least stays.
+    """
+    gone = verdicts.where("not kept").select("id", "sha").distinct()
+    packed = docs.select(packed_row(docs).alias("row"), F.col(id_col).alias("id"), text_digest(F.col(text_col)).alias("sha"))
+
+    def same(x: DataFrame) -> Column:
+        return packed["id"].eqNullSafe(x["id"]) & (packed["sha"] == x["sha"])
+
+    stay = packed.join(gone, same(gone), "left_anti")
+    twins = verdicts.where("kept").groupBy("id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "sha")
+    if twins.isEmpty():
+        return stay.select("row.*")
+    plain = [F.col("row")[f.name] for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    one = packed.join(twins, same(twins), "left_semi").groupBy("id", "sha").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return stay.join(twins, same(twins), "left_anti").select("row.*").unionByName(one.select("row.*"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import cut
+from scrollmill.llm.common import cut, join_split
 
 
 def _tangled(edges: DataFrame) -> bool:
@@ -19,15 +19,16 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) of each end of links (a, b); a component is its least id.
 
     Large-star and small-star steps take turns until the edges are stars: each links every end to the least id near it,
-    so that the rounds grow with the logarithm of the largest component, and no step holds a node's links in one place.
+    so that the rounds grow with the logarithm of the largest component. The links of a node that has very many are dealt
+    over several places, to each of which its least neighbour is told.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while _tangled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = cut(join_split(both, least, ["a"], "n", ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_split(large, least, ["a"], "n", ["b"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = cut(small.where("a <> b").distinct(), "links")
     ends = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return ends.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import HOT_SHARE, cut, join_split, packed_row
+from scrollmill.llm.common import HOT_SHARE, cut, drop_rows, join_split
 
 #: Keys of a bucket.
 CAPACITY = 512
@@ -73,7 +73,7 @@ def _links(texts: DataFrame, keys: DataFrame, cells: DataFrame, depth: int, spli
 
     def placed(these: DataFrame) -> DataFrame:
         """The texts of these keys, with their buckets."""
-        return texts.join(these.withColumn("cell", _cell(F.col("h"), depth)).join(cells.select("cell", "bucket"), "cell").select("h", "n", "bucket"), "h")
+        return join_split(texts, these.withColumn("cell", _cell(F.col("h"), depth)).join(cells.select("cell", "bucket"), "cell").select("h", "n", "bucket"), ["h"], "n", ["id"], split)
 
     split = max(split, -(-(keys.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE))
     some = placed(keys.where((F.col("n") > 1) & (F.col("n") <= split))).select("bucket", "h", "text", *own)
@@ -125,20 +125,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null ids count as the smallest, a null text as empty. Of rows that repeat an id and its text the one whose other
     columns hash least stays. No rows: no rows.
     """
-    found = cut(look_up(*build_index(docs, id_col, text_col, capacity, split), split).select("id", F.col("text_sha256").alias("sha"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept")), "verdicts")
-    gone = found.where("not kept").select("id", "sha").distinct()
-    packed = docs.select(packed_row(docs).alias("row"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
-
-    def same(x: DataFrame) -> Column:
-        return packed["id"].eqNullSafe(x["id"]) & (packed["sha"] == x["sha"])
-
-    stay = packed.join(gone, same(gone), "left_anti")
-    twins = found.where("kept").groupBy("id", "sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "sha")
-    if twins.isEmpty():
-        return stay.select("row.*")
-    plain = [F.col("row")[f.name] for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
-    one = packed.join(twins, same(twins), "left_semi").groupBy("id", "sha").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
-    return stay.join(twins, same(twins), "left_anti").select("row.*").unionByName(one.select("row.*"))
+    found = look_up(*build_index(docs, id_col, text_col, capacity, split), split)
+    verdicts = found.select("id", F.unhex("text_sha256").alias("sha"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
+    return drop_rows(docs, id_col, text_col, cut(verdicts, "verdicts"))
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
+from scrollmill.llm import common
+from scrollmill.llm import components as c
 from scrollmill.llm import minhash_dedup as m
 from scrollmill.llm.components import components
 from scrollmill.llm.shingles import shingle_sets
@@ -59,6 +63,71 @@ def test_a_group_whose_hub_is_far_from_most(spark, monkeypatch):
     assert sorted(map(tuple, m.near_components(docs, percent=85).collect())) == brute(rows, 85)
 
 
+def test_repeated_and_null_ids_lose_no_link(spark):
+    base, other = " ".join(f"b{i}" for i in range(60)), " ".join(f"o{i}" for i in range(60))
+    rows = [(1, base), (1, other), (5, base + " x"), (6, other + " y"), (None, base + " z q"), (None, "lone words here and there"), (7, "lone words here and there"), (None, "n m"), (None, "n m"), (None, None), (8, "")]
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in m.near_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()]
+    want = [(1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False), (None, 1, False), (None, 7, False), (7, 7, True), (None, None, True), (None, None, True), (None, None, True), (8, 8, True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_one_row_of_each_component_stays(spark):
+    base, other = " ".join(f"b{i}" for i in range(60)), " ".join(f"o{i}" for i in range(60))
+    rows = [(1, base, 1), (1, other, 1), (5, base + " x", 2), (6, other + " y", 3), (None, base + " z q", 4), (None, "n m", 5), (None, "n m", 6), (None, None, 7), (3, "x y", 8), (3, "x y", 8), (4, "", 9), (9, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sha int").withColumn("row", F.lit(1)).withColumn("component", F.lit(2))
+    out = m.drop_near_copies(docs, percent=85)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, (r["text"] or "")[:3]) for r in out.collect())
+    assert got == [(0, ""), (0, "n m"), (1, "b0 "), (1, "o0 "), (3, "x y"), (4, ""), (9, "")]
+
+
+def test_pairs_near_the_threshold_are_found(spark):
+    """Pairs on either side of the threshold: all links among 600 pairs are found, and nothing else."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(600):
+        base = [f"p{k}w{i}" for i in range(rng.choice((40, 120, 300)))]
+        near = list(base)
+        cut = rng.choice((1, 2, 3, 5)) * len(base) // 100 + 1
+        for i in rng.sample(range(len(base)), cut):
+            near[i] = "q"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    want = brute_pairs(rows, 85)
+    got = {r["doc_id"]: r["component_id"] for r in m.near_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    found = {k for k in range(600) if got[2 * k + 1] == 2 * k}
+    close = {k for k, s in want.items() if 0.85 <= s < 0.90}
+    assert len(close) >= 30 and found == {k for k, s in want.items() if s >= 0.85}
+
+
+def brute_pairs(rows, percent, width=5):
+    out = {}
+    for (i, x), (_, y) in zip(rows[::2], rows[1::2], strict=True):
+        a, b = ({tuple(t.split()[k : k + width]) for k in range(len(t.split()) - width + 1)} for t in (x, y))
+        out[i // 2] = len(a & b) / len(a | b)
+    return out
+
+
+def test_hubs_are_dealt_over_tasks(spark, monkeypatch):
+    join = m.join_split
+    split = lambda *args: join(*args, least=4)
+    monkeypatch.setattr(common, "HOT_SHARE", 2)
+    monkeypatch.setattr(m, "join_split", split)
+    monkeypatch.setattr(c, "join_split", split)
+    links = [(0, i) for i in range(1, 60)] + [(i, i + 100) for i in range(40, 60)] + [(200, 201)]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+    assert got == {**dict.fromkeys([*range(60), *range(140, 160)], 0), 200: 200, 201: 200}
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for k in range(50):
+        own = list(base)
+        for _ in range(k % 5):
+            own[rng.randrange(80)] = f"y{rng.randrange(5)}"
+        rows.append((k, " ".join(own)))
+    rows += [(60 + k, " ".join(base)) for k in range(30)]
+    assert sorted(map(tuple, m.near_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect())) == brute(rows, 85)
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(1)
     common = rng.integers(0, 2**63, 600).astype(np.uint64)
@@ -86,4 +155,4 @@ def test_components_of_a_long_path(spark):
 
 
 def test_no_rows(no_rows):
-    assert m.near_components(no_rows).count() == 0
+    assert m.near_components(no_rows).count() == 0 and m.drop_near_copies(no_rows).count() == 0
