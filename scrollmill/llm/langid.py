@@ -12,10 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import freeing, small_batches, unit_hash
+from scrollmill.llm.common import freeing, packed_row, small_batches, unit_hash
 
 #: Hashed features, and the longest n-gram.
 DIMS, LONGEST = 1 << 15, 3
@@ -158,15 +158,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with one more column `__lang`: struct(lang_pred, score), from the whole text alone.
+    """docs with one more column `__lang`, which replaces one of that name: struct(lang_pred, score), from the whole text alone.
 
     A null text, or one without a letter, is `und` with score 0. Equal texts get equal results. Other columns are kept
     as they are. No rows: no rows.
     """
     small_batches(docs.sparkSession)
-    if "__lang" in docs.columns:
-        raise ValueError("__lang is a reserved name")
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by DIMS and the number of languages
+    return docs.withColumn("__lang", _predictor(docs.sparkSession, model)(F.col(text_col)))
+
+
+def _predictor(spark: SparkSession, model: Model):
+    """A function of a text column that gives struct(lang_pred, score)."""
+    shared = spark.sparkContext.broadcast(model)  # its size is fixed by DIMS and the number of languages
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -176,7 +179,18 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from freeing(run)(batches)
 
-    return docs.withColumn("__lang", predict(F.col(text_col)))
+    return predict
+
+
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose language can be told, which replaces lang_col; other columns stay, whatever these are named.
+
+    A null text, or one without a letter, goes. Rows are judged one by one. No rows: no rows.
+    """
+    small_batches(docs.sparkSession)
+    found = docs.select(packed_row(docs).alias("row"), _predictor(docs.sparkSession, model)(F.col(text_col)).alias("found"))
+    known = found.where(F.col("found.lang_pred") != UNKNOWN)
+    return known.select(*[F.col("found.lang_pred").alias(c) if c == lang_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:

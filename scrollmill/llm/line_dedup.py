@@ -107,8 +107,9 @@ def mark_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if least_words is not None:
         places = places.unionByName(passages(lines, run, least_words))
     gone = _repeated(places)
-    packed = docs.select(packed_row(docs).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    out = packed.join(gone, packed["id"].eqNullSafe(gone["id"]) & (packed["h"] == gone["h"]), "left").select("row", "text", "gone")
+    packed = docs.select(packed_row(docs).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
+    out = packed.join(gone, packed["id"].eqNullSafe(gone["id"]) & (packed["h"] == gone["h"]), "left")
+    out = out.select("row", F.coalesce(F.col("row")[text_col], F.lit("")).alias("text"), "gone")
     ls = F.split("text", "\n")
     at = F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(at, lambda i: F.get(ls, i)), "\n"))

@@ -8,26 +8,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrollmill.llm.common import cut, n_words, unit_hash
+from scrollmill.llm.common import cut, join_split, n_words, packed_row, unit_hash
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share_percent: int, cap: int) -> DataFrame:
-    """Add `target` to the table (src, source_size), one row a source.
+    """Add `weight` and `target` to the table (src, source_size), one row a source; other columns stay, no rows give none.
 
     The k-th source by code point (null last) weighs weights[k mod len]. Together they get share_percent of all
     words, split by weight; a source gets at most cap times its own words and the others share what is over.
     The table grows with the number of sources: it is sorted and ranked in parallel and stays distributed.
     """
-    ranked = (
-        sizes.orderBy(F.col("src").asc_nulls_last())
-        .rdd.zipWithIndex()
-        .map(lambda x: (x[0]["src"], x[0]["source_size"], int(weights[x[1] % len(weights)])))
-        .toDF("src string, source_size long, weight long")
-    )
-    ranked = cut(ranked, "mix-sources")
+    order = F.col("src").asc_nulls_last()
+    ranged = cut(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    counts = sorted(tuple(r) for r in ranged.groupBy("part").count().collect())  # one a partition
+    first = [(part, sum(n for p, n in counts if p < part)) for part, _ in counts]
+    first = sizes.sparkSession.createDataFrame(first, "part int, first long")
+    nth = F.col("first") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    weight = F.get(F.array(*[F.lit(int(w)) for w in weights]), (nth % len(weights)).cast("int")).cast("long")
+    ranked = cut(ranged.join(F.broadcast(first), "part").withColumn("weight", weight).drop("part", "first"), "mix-sources")
     total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t")).first()["t"]
     share = total * share_percent / 100
     limit = F.col("source_size") * cap
@@ -43,6 +44,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share_percent: int,
     return ranked.withColumn("target", F.least(limit.cast("double"), even))
 
 
+def _planned(docs: DataFrame, weights: Sequence[int], share_percent: int, cap: int, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(row, plan): the rows of docs and what plan_mix adds to them."""
+    key = F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"))
+    sized = docs.select(packed_row(docs).alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), key.alias("key"), n_words(F.col(text_col)).alias("size"))
+    sizes = sized.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    targets = source_targets(cut(sizes, "mix-sizes"), weights, share_percent, cap)
+    targets = targets.select(F.struct(F.col("src").isNull().alias("none"), F.coalesce("src", F.lit("")).alias("name")).alias("key"), "source_size", "target", "n")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    copies = F.floor(rate) + (unit_hash(seed, F.col("id")) < rate - F.floor(rate)).cast("long")
+    joined = join_split(sized.drop("src"), cut(targets, "mix-targets"), ["key"], "n", ["id"])
+    return joined.select("row", F.struct("size", "source_size", "target", copies.alias("copies")).alias("plan"))
+
+
 def plan_mix(
     docs: DataFrame,
     weights: Sequence[int] = (3, 1, 2),
@@ -53,30 +67,33 @@ def plan_mix(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """docs with one more column `__mix`: struct(size, source_size, target, copies).
+    """docs with one more column `__mix`, which replaces one of that name: struct(size, source_size, target, copies).
 
     size: words of the text, 0 for a null or empty one. Null is a source of its own, apart from ''. A source
     without words gets target 0 and no copies. Rows that repeat a document are documents of their own that share
-    their hash. An empty table gives an empty table; other columns are kept as they are, whatever their names.
+    their hash, as null ids do. An empty table gives an empty table; other columns are kept as they are, whatever their names.
     """
-    if "__mix" in docs.columns or "__src" in docs.columns:
-        raise ValueError("__mix and __src are reserved names")
-    sized = docs.withColumn("__mix", n_words(F.col(text_col)))
-    sizes = sized.groupBy(F.col(source_col).alias("src")).agg(F.sum("__mix").alias("source_size"))
-    targets = source_targets(cut(sizes, "mix-sizes"), weights, share_percent, cap)
-    targets = targets.select(F.struct(F.col("src").isNull(), F.coalesce("src", F.lit(""))).alias("__src"), F.struct("source_size", "target").alias("__t"))
-    rate = F.when(F.col("__t.source_size") > 0, F.col("__t.target") / F.col("__t.source_size")).otherwise(0.0)
-    copies = F.floor(rate) + (unit_hash(seed, F.col(id_col)) < rate - F.floor(rate)).cast("long")
-    key = F.struct(F.col(source_col).isNull(), F.coalesce(F.col(source_col), F.lit("")))
-    joined = sized.withColumn("__src", key).join(targets, "__src")
-    packed = F.struct(F.col("__mix").alias("size"), F.col("__t.source_size"), F.col("__t.target"), copies.alias("copies"))
-    return joined.select(*[c for c in docs.columns], packed.alias("__mix"))
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as its plan says, with the columns of docs."""
-    planned = plan_mix(docs, **options).where("__mix.copies > 0")
-    return planned.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__mix.copies"))).alias("__copy")).drop("__copy")
+    planned = _planned(docs, weights, share_percent, cap, seed, id_col, text_col, source_col)
+    return planned.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "__mix"], F.col("plan").alias("__mix"))
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[int] = (3, 1, 2),
+    share_percent: int = 150,
+    cap: int = 2,
+    seed: str = "mix",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: each row of docs as often as its plan says, with the columns of docs, whatever their names.
+
+    Null and empty texts, null sources, null and repeated ids, and an empty table are treated as in plan_mix; a row of a
+    source without words is not emitted.
+    """
+    planned = _planned(docs, weights, share_percent, cap, seed, id_col, text_col, source_col).where("plan.copies > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1), F.col("plan.copies"))).alias("copy")).select("row.*")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -62,6 +63,35 @@ def test_document_frequencies_cover_all_rows(found):
     assert n == len(rows) and (df == want).all()
 
 
+def test_weights_are_those_of_the_rule_step_by_step(found):
+    """Follow-the-regularised-leader with one number at a time."""
+    rows = found[0][:12]
+    at_v = [langid.vector(t, np.ones(langid.DIMS)) for _, t, _ in rows]
+    y = [sorted(SYLLABLES).index(lang) for *_, lang in rows]
+    got = langid.train_ftrl([(a, v, k) for (a, v), k in zip(at_v, y, strict=True)], 3, epochs=2, alpha=0.7, beta=1.3, l1=0.03, l2=0.05)
+    z, n = {}, {}
+
+    def weight(c, f):
+        zs, ns = z.get((c, f), 0.0), n.get((c, f), 0.0)
+        return 0.0 if abs(zs) <= 0.03 else -(zs - math.copysign(0.03, zs)) / ((1.3 + math.sqrt(ns)) / 0.7 + 0.05)
+
+    for _ in range(2):
+        for (a, v), k in zip(at_v, y, strict=True):
+            x = [*zip(a.tolist(), v.tolist(), strict=True), (langid.DIMS, 1.0)]
+            w = [{f: weight(c, f) for f, _ in x} for c in range(3)]
+            e = [math.exp(sum(w[c][f] * u for f, u in x)) for c in range(3)]
+            for c in range(3):
+                for f, u in x:
+                    g = (e[c] / sum(e) - (c == k)) * u
+                    old = n.get((c, f), 0.0)
+                    z[c, f] = z.get((c, f), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / 0.7 * w[c][f]
+                    n[c, f] = old + g * g
+    want = np.zeros((3, langid.DIMS + 1))
+    for c, f in z:
+        want[c, f] = weight(c, f)
+    assert np.allclose(got, want, atol=1e-12) and (want != 0).any()
+
+
 def test_temperature_lowers_the_loss():
     rng = np.random.default_rng(0)
     truth = rng.integers(0, 3, 400)

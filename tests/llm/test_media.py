@@ -60,6 +60,29 @@ def test_shots():
     assert m.shots(dark) == [(0, 20)] and m.shots(dark[:1]) == [(0, 1)]
 
 
+def plain_shots(payload, around=8):
+    """Frame by frame, without arrays."""
+    frames = [payload[k : k + m.FRAME] for k in range(0, len(payload), m.FRAME)]
+    bins = [[sum(1 for b in f if b >> 4 == k) for k in range(16)] for f in frames]
+    step = [sum(abs(p - q) for p, q in zip(x, y, strict=True)) for x, y in zip(bins, bins[1:], strict=False)]
+    edges = [0]
+    for i, s in enumerate(step):
+        others = [step[j] for j in range(max(0, i - around), min(len(step), i + around + 1)) if j != i]
+        if s * len(others) > 3 * sum(others) and s >= m.FRAME // 8:
+            edges.append(i + 1)
+    return list(zip(edges, [*edges[1:], len(frames)], strict=True))
+
+
+def test_feature_of_each_text(spark):
+    texts = ["", "a" * 5000, "a" * 9000 + "é" * 4000 + "Z" * 7000, "".join(chr(32 + (k * k) % 90) for k in range(20000)), "0" * 6000 + "~" * 600 + "0" * 6000, None]
+    got = {r["id"]: r["feature"] for r in m.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        found = plain_shots(m.padded(t)[0])
+        bounds = ",".join(f"{a}-{b}" for a, b in found)
+        assert got[i] == f"frames={found[-1][1]};shots={len(found)};bounds={zlib.crc32(bounds.encode()):08x}"
+    assert len({plain_shots(m.padded(t)[0])[-1] for t in texts}) > 2
+
+
 def test_digest_of_each_text(corpus, no_rows):
     docs, rows = corpus
     text = {r[0]: (r[1] or "").encode() for r in rows}

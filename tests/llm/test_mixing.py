@@ -62,3 +62,11 @@ def test_no_rows_and_no_words(spark, no_rows):
     assert plan_mix(no_rows).count() == 0
     silent = spark.createDataFrame([(1, None, None), (2, " ", None)], "doc_id long, text string, source string")
     assert [tuple(r["__mix"]) for r in plan_mix(silent).collect()] == [(0, 0, 0.0, 0)] * 2
+
+
+def test_many_sources_are_ranked_by_code_point(spark):
+    rows = [(i, "w " * (i % 7 + 1), None if i == 5 else f"s{i * 37 % 101}{'ß' * (i % 2)}", None, None) for i in range(150)]
+    docs = spark.createDataFrame([(i, t, s) for i, t, s, *_ in rows], "doc_id long, text string, source string").repartition(5)
+    _, total, target = brute([(i, t, None, s) for i, t, s, *_ in rows])
+    for r in plan_mix(docs).select("source", "__mix.*").collect():
+        assert r["source_size"] == total[r["source"]] and abs(r["target"] - float(target[r["source"]])) < 1e-6
