@@ -7,33 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 from scrollmill.llm import bpe, exact_dedup, langid, minhash_dedup, mixing
 from scrollmill.llm.common import cut
 
-#: A language is rejected if it is unknown, or hardly likelier than any other.
-LEAST_SCORE = 0.3
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language is not told apart at all, go. The language found replaces `lang`."""
-    found = langid.identify(docs, langid.learn(docs))
-    kept = found.where((found["__lang.lang_pred"] != langid.UNKNOWN) & (found["__lang.score"] >= LEAST_SCORE))
-    return kept.withColumn("lang", kept["__lang.lang_pred"]).select(*docs.columns)
+    """Documents of which no language can be told, as they are null or have no letter, go. The language found replaces `lang`."""
+    return langid.keep_known(docs, langid.learn(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays, and of equal rows one; empty and null texts are equal."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the least doc_id."""
-    found = minhash_dedup.near_components(docs).where("not kept").select("doc_id")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates stays, that with the least doc_id; null ids come last."""
+    return minhash_dedup.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources say; null is a source of its own."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document of the mix, with digests of them and of the text that they decode to."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the token ids of each document of the mix and of the text that they decode to; a null text has none."""
     return bpe.round_trip(docs, bpe.default_vocabulary()).withColumnRenamed("id", "doc_id")
 
 
@@ -47,6 +43,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over `documents` of sf_dir, each over the table that the one before has written. An empty table gives an empty one."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
