@@ -45,3 +45,17 @@ def per_message(blocks: DataFrame) -> DataFrame:
         "bytes",
         (F.col("json") + F.col("n") + 1).alias("json_bytes"),
     )
+
+
+def message_keys(blocks: DataFrame) -> DataFrame:
+    """(session_id, msg_idx, tool_call_id, bytes, key): a digest of each tool result's fingerprint, and its bytes.
+
+    Blocks are hashed before they are grouped; only results of several blocks, whose fingerprint runs over all of them, are
+    put together as text.
+    """
+    key = ["session_id", "msg_idx"]
+    narrow = blocks.select(*key, "tool_call_id", n_bytes().alias("bytes"), F.sha2(F.coalesce(fingerprint(), F.lit("")), 256).alias("key"))
+    grouped = narrow.groupBy(*key).agg(F.first("tool_call_id").alias("tool_call_id"), F.sum("bytes").alias("bytes"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+    several = per_message(blocks.join(grouped.where("n > 1").select(*key), key, "left_semi"))
+    one = grouped.where("n = 1").drop("n")
+    return one.unionByName(several.select(*key, "tool_call_id", "bytes", F.sha2("fingerprint", 256).alias("key")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrollmill.functions.blocks import fingerprint, n_bytes, per_message
+from scrollmill.functions.blocks import fingerprint, message_keys, n_bytes
 from scrollmill.functions.text import text_block_len
 from scrollmill.schema import BlockOptions, ExactOptions, Transcript
 
@@ -25,9 +25,8 @@ def replace_messages(blocks: DataFrame, markers: DataFrame) -> DataFrame:
 
 def exact_markers(blocks: DataFrame, options: ExactOptions = ExactOptions()) -> DataFrame:
     """(session_id, msg_idx, first_msg_idx, marker) of tool results that repeat an earlier one of min_length bytes at least."""
-    whole = per_message(blocks).where(F.col("bytes") >= options.min_length)
+    keyed = message_keys(blocks).where(F.col("bytes") >= options.min_length)
     same = Window.partitionBy("session_id", "key").orderBy("msg_idx")
-    keyed = whole.select("session_id", "msg_idx", "tool_call_id", "bytes", F.sha2("fingerprint", 256).alias("key"))
     ranked = keyed.select(
         "session_id", "msg_idx", "bytes", F.row_number().over(same).alias("n"), F.first("tool_call_id").over(same).alias("first_id"), F.first("msg_idx").over(same).alias("first_msg_idx")
     )

@@ -10,6 +10,7 @@ from scrollmill.functions.blocks import is_text
 from scrollmill.functions.linediff import diff_lines, render_diff
 from scrollmill.functions.text import js_round, json_string_len, utf8_len
 from scrollmill.schema import NearOptions, Transcript
+from scrollmill.storage import cut
 
 KEY = ["session_id", "ord"]
 
@@ -34,7 +35,7 @@ def similar_pairs(corpus: DataFrame, threshold: float) -> DataFrame:
         pairs = sized.join(old, "session_id").where("cand < ord and text <> old")
         return _similarity(pairs.select("session_id", "ord", "cand", "n", "m"), _tokens(corpus)).where(F.col("sim") >= threshold)
     t = F.lit(float(threshold))
-    tokens = _tokens(corpus)
+    tokens = cut(_tokens(corpus), "line-tokens")
     often = tokens.groupBy("session_id", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.coalesce("df", F.lit(1)), "token"))
     ranked = tokens.join(often, ["session_id", "token"], "left").select(*KEY, "token", "df", rank.alias("rank")).join(sized.select(*KEY, "n"), KEY)
@@ -43,7 +44,9 @@ def similar_pairs(corpus: DataFrame, threshold: float) -> DataFrame:
     met = prefix.join(old, ["session_id", "token"]).where("cand < ord")
     near = F.least("n", "m") >= F.greatest("n", "m") * t / (2 - t) - 1e-9
     pairs = met.where(near).select("session_id", "ord", "cand", "n", "m").distinct()
-    found = _similarity(pairs, tokens).where(F.col("sim") >= t)
+    pairs = cut(pairs, "line-pairs")
+    met = pairs.select(*KEY).unionByName(pairs.select("session_id", F.col("cand").alias("ord"))).distinct()
+    found = _similarity(pairs, tokens.join(met, KEY, "left_semi")).where(F.col("sim") >= t)
     texts = corpus.select(*KEY, F.sha2("text", 256).alias("key"))
     found = found.join(texts, KEY).join(texts.select("session_id", F.col("ord").alias("cand"), F.col("key").alias("old")), ["session_id", "cand"])
     return found.where("key <> old").select("session_id", "ord", "cand", "sim")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrollmill.functions.blocks import per_message
+from scrollmill.functions.blocks import shown
 from scrollmill.functions.fileops import file_ops
 from scrollmill.functions.text import utf16_len
 from scrollmill.operators.exact import exact_markers, replace_messages
@@ -39,7 +39,9 @@ def superseded_reads(t: Transcript, safe_refs: DataFrame | None = None) -> Trans
     one = (F.size("ops") == 1) & (F.get("ops", F.lit(0))["kind"] == "read")
     named = F.when(one, F.concat(F.lit("file ("), F.get("ops", F.lit(0))["path"], F.lit(")"))).otherwise("file")
     told = known.join(stale, ["session_id", "msg_idx"]).select("session_id", "msg_idx", named.alias("file"))
-    chars = per_message(t.blocks).select("session_id", "msg_idx", utf16_len(F.col("shown")).alias("chars"))
+    # Of results of several blocks the line feeds between them count too.
+    size = utf16_len(F.coalesce(shown(), F.lit("")))
+    chars = t.blocks.select("session_id", "msg_idx", size.alias("size")).groupBy("session_id", "msg_idx").agg((F.sum("size") + F.count(F.lit(1)) - 1).alias("chars"))
     marker = F.concat(F.lit("[stale: "), F.col("file"), F.lit(" was modified after this read, see later read for current content — "), F.col("chars").cast("string"), F.lit(" chars elided]"))
     markers = told.join(chars, ["session_id", "msg_idx"]).select("session_id", "msg_idx", marker.alias("marker"))
     return t.with_(blocks=replace_messages(t.blocks, markers))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,12 +22,28 @@ def units(text: str) -> np.ndarray:
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of the `size` code units at each place."""
+    """The hash of the `size` code units at each place, put together from windows of powers of two."""
     n = len(codes) - size + 1
-    h = np.zeros(max(0, n), np.int64)
-    for k in range(size if n > 0 else 0):
-        h = (h * BASE + codes[k : k + n]) % MOD
-    return h
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    part, width, have, out = codes.astype(np.int64) % MOD, 1, 0, np.zeros(n, np.int64)
+    while size >> width.bit_length() - 1:
+        if size & width:  # the next `width` units follow those that out has
+            out = (out * pow(BASE, width, MOD) + part[have : have + n]) % MOD
+            have += width
+        if width * 2 <= size:
+            part = (part[:-width] * pow(BASE, width, MOD) + part[width:]) % MOD
+        width *= 2
+    return out
+
+
+def repeated_places(hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each array the places whose hash occurs more than once in all of them; no other place can match or be matched."""
+    every = np.sort(np.concatenate(hashes)) if hashes else np.zeros(0, np.int64)
+    again = np.unique(every[1:][every[1:] == every[:-1]])
+    if not len(again):
+        return [np.zeros(0, np.int64) for _ in hashes]
+    return [np.flatnonzero(again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h) for h in hashes]
 
 
 class Session:
@@ -47,14 +65,20 @@ class Session:
         """A text that stays as it is and is not looked up either."""
         self._say(units(text))
 
-    def take(self, text: str, ref: str) -> tuple[str, list[tuple[int, int, int]]]:
-        """The text with markers, and (start, length, place of the earlier occurrence) of what each replaces."""
+    def take(self, text: str, ref: str, hashes: np.ndarray | None = None, places: np.ndarray | None = None) -> tuple[str, list[tuple[int, int, int]]]:
+        """The text with markers, and (start, length, place of the earlier occurrence) of what each replaces.
+
+        hashes: its window_hashes; places: those of them that may occur elsewhere, all unless given.
+        """
         codes, start = units(text), self.n
         self._say(codes)
-        hashes = window_hashes(codes, self.size).tolist()
-        out, spans, at, copied = [], [], 0, 0
-        while at < len(hashes):
-            seen = self.first.get(hashes[at])
+        hashes = window_hashes(codes, self.size) if hashes is None else hashes
+        places = np.arange(len(hashes)) if places is None else places
+        found = list(zip(places.tolist(), hashes[places].tolist(), strict=True))
+        out, spans, k, copied = [], [], 0, 0
+        while k < len(found):
+            at, own = found[k]
+            seen = self.first.get(own)
             match = self._match(codes, start, at, seen[0]) if seen else 0
             if match:
                 lo, hi = at, at + match
@@ -67,10 +91,10 @@ class Session:
                     out += [codes[copied:lo].tobytes().decode("utf-16-le", "surrogatepass"), marker]
                     spans.append((lo, hi - lo, seen[0] + lo - at))
                     # What follows the match goes on, from its end; a half left over by snapping stays as text.
-                    copied, at = hi, at + match
+                    copied, k = hi, bisect_left(found, (at + match,), k)
                     continue
-            self.first.setdefault(hashes[at], (start + at, ref))
-            at += 1
+            self.first.setdefault(own, (start + at, ref))
+            k += 1
         if not spans:
             return text, []
         out.append(codes[copied:].tobytes().decode("utf-16-le", "surrogatepass"))
@@ -94,16 +118,20 @@ class Session:
 def shingle_texts(texts: DataFrame, options: ShingleOptions) -> DataFrame:
     """(session_id, msg_idx, block_idx, new_text, spans) of texts (session_id, msg_idx, block_idx, text, ref, protected) that change.
 
-    A session is scanned by one task, as each step depends on all before it; sessions are independent.
+    A session is scanned by one task, as each step depends on all before it; sessions are independent. Only places whose
+    hash the session has twice are walked, the rest is passed over in whole arrays. The task holds the session's texts and
+    eight bytes a code unit: that bounds the longest session by an executor's memory.
     """
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         session, out = Session(options), []
-        for r in rows.sort_values(["msg_idx", "block_idx"]).itertuples():
+        rows = rows.sort_values(["msg_idx", "block_idx"])
+        hashes = [np.zeros(0, np.int64) if p else window_hashes(units(t), options.shingle) for t, p in zip(rows.text, rows.protected, strict=True)]
+        for r, h, places in zip(rows.itertuples(), hashes, repeated_places(hashes), strict=True):
             if r.protected:
                 session.skip(r.text)
                 continue
-            new, spans = session.take(r.text, r.ref)
+            new, spans = session.take(r.text, r.ref, h, places)
             if spans:
                 out.append((r.session_id, r.msg_idx, r.block_idx, new, [{"at": a, "n": n, "source": s} for a, n, s in spans]))
         return pd.DataFrame(out, columns=["session_id", "msg_idx", "block_idx", "new_text", "spans"])

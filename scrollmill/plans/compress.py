@@ -43,14 +43,18 @@ def passes(t: Transcript, options: Options = DEFAULTS, extra: Sequence[Pass] = (
 ROW_LOCAL = {"pass-c-runlength", "pass-f-minify"}
 
 
-def _settled(t: Transcript, name: str) -> Transcript:
-    """The tables that passes change, written: the next pass reads its input several times, which must not run this one again."""
-    return t if name in ROW_LOCAL else t.with_(blocks=cut(t.blocks, name), call_args=cut(t.call_args, name))
+def _written(t: Transcript, before: Transcript, name: str) -> Transcript:
+    """The tables that a pass has changed, written: the next pass reads its input several times, which must not run this one again."""
+    return t.with_(**{c: cut(getattr(t, c), name) for c in ("blocks", "call_args") if getattr(t, c) is not getattr(before, c)})
+
+
+def _settled(t: Transcript, before: Transcript, name: str) -> Transcript:
+    return t if name in ROW_LOCAL else _written(t, before, name)
 
 
 def compress(t: Transcript, options: Options = DEFAULTS, extra: Sequence[Pass] = ()) -> Transcript:
     """All passes, one after the other; messages are neither removed nor reordered."""
-    return reduce(lambda x, p: _settled(p[1](x), p[0]), passes(t, options, extra), t)
+    return reduce(lambda x, p: _settled(p[1](x), x, p[0]), passes(t, options, extra), t)
 
 
 def _sizes(t: Transcript) -> DataFrame:
@@ -73,11 +77,10 @@ def with_stats(t: Transcript, options: Options = DEFAULTS, extra: Sequence[Pass]
     Sizes follow from what a pass has changed; hits are the messages whose JSON it has changed.
     """
     whole = total_bytes(t.messages)
-    before, grown, rows, out = _sizes(t), F.lit(0).cast("long"), [], t
+    before, rows, out = cut(_sizes(t), "sizes"), [], t
     for k, (name, f) in enumerate(passes(t, options, extra)):
-        out = f(out)
-        out = out.with_(blocks=cut(out.blocks, name), call_args=cut(out.call_args, name))
-        after = _sizes(out)
+        out = _written(f(out), out, name)
+        after = cut(_sizes(out), "sizes")  # narrow; the next pass is held against it
         both = before.join(after.select(*KEY, F.col("size").alias("new"), F.col("digest").alias("new_digest")), KEY)
         diff = both.groupBy("session_id").agg(F.sum(F.col("new") - F.col("size")).alias("delta"), F.sum((F.col("digest") != F.col("new_digest")).cast("long")).alias("hits"))
         rows.append(diff.select("session_id", F.lit(k).alias("pass_no"), F.lit(name).alias("pass"), "delta", "hits"))

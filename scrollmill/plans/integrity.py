@@ -18,13 +18,18 @@ def call_refs(messages: DataFrame) -> DataFrame:
     return calls.where("coalesce(call_id, '') <> '' and coalesce(tool_name, '') <> ''").select("session_id", "call_id")
 
 
+def changed_roles(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Messages (session_id, msg_idx, role, new) whose role is another one after, or that are only on one side."""
+    both = before.select("session_id", "msg_idx", "role").join(after.select("session_id", "msg_idx", F.col("role").alias("new")), ["session_id", "msg_idx"], "full")
+    return both.where(~F.col("role").eqNullSafe(F.col("new")))
+
+
 def check_integrity(before: DataFrame, after: DataFrame) -> DataFrame:
     """(session_id, rule, issue) of all that is wrong with messages after (session_id, msg_idx, role, tool_call_id, raw_json); no rows if nothing is."""
     invalid = _issue(after.where(F.try_parse_json("raw_json").isNull()), "json", F.concat(F.lit("Message is no valid JSON: "), F.col("msg_idx").cast("string")))
     n = before.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).join(after.groupBy("session_id").agg(F.count(F.lit(1)).alias("m")), "session_id", "full").fillna(0)
     count = _issue(n.where("n <> m"), "message_count", F.format_string("Message count changed: %d -> %d", F.col("n"), F.col("m")))
-    roles = before.select("session_id", "msg_idx", "role").join(after.select("session_id", "msg_idx", F.col("role").alias("new")), ["session_id", "msg_idx"], "full")
-    role = _issue(roles.where(~F.col("role").eqNullSafe(F.col("new"))).select("session_id").distinct(), "role_sequence", F.lit("Role sequence changed"))
+    role = _issue(changed_roles(before, after).select("session_id").distinct(), "role_sequence", F.lit("Role sequence changed"))
     calls, new_calls = call_refs(before), call_refs(after)
     c = calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).join(new_calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("m")), "session_id", "full").fillna(0)
     call_count = _issue(c.where("n <> m"), "call_count", F.format_string("Tool call count changed: %d -> %d", F.col("n"), F.col("m")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrollmill import queries_built
 from scrollmill.functions import blocks as B
 from scrollmill.functions.fileops import bash_ops, file_ops, python_ops
 from scrollmill.functions.text import js_trim, json_string_len, token_estimate, utf8_len, utf16_len
@@ -15,7 +16,7 @@ from scrollmill.operators.reads import stale_reads
 from scrollmill.operators.runs import collapse_blank, collapse_runs, run_starts, strip_trailing
 from scrollmill.operators.shingle import protected_messages, repeated_shingles, shingle_texts
 from scrollmill.plans.compress import MINIFY, compress, messages_of, total_bytes, with_stats
-from scrollmill.plans.integrity import check_integrity
+from scrollmill.plans.integrity import changed_roles, check_integrity
 from scrollmill.plans.report import grand_total, pass_totals, session_rows
 from scrollmill.schema import LIVE, NearOptions, Options, ShingleOptions
 from scrollmill.sources.tables import conversation_messages, document_results, file_events, tool_results
@@ -141,9 +142,9 @@ def near_dupe_best(spark, folder):
 
 
 def near_dupe_diff(spark, folder):
-    """Texts of up to 400 words with a word a line: their near copies then have short diffs."""
+    """All texts with a word a line: their near copies then have short diffs."""
     d = _docs(spark, folder).select("session_id", F.col("msg_idx").alias("ord"), F.replace("text", F.lit(" "), F.lit("\n")).alias("text"), F.col("tool_call_id").alias("ref"))
-    d = d.where(utf8_len(F.col("text")).between(200, 4000))
+    d = d.where(utf8_len(F.col("text")) >= NearOptions().min_length)
     return near_diffs(d, NearOptions()).select("session_id", "ord", "ref", "sim", "diff")
 
 
@@ -200,8 +201,7 @@ def role_sequence_check(spark, folder):
     """Roles of a conversation against the same with its first message of role system as user."""
     m = conversation_messages(spark, folder)
     new = m.withColumn("role", F.when((F.col("role") == "system") & (F.col("msg_idx") == 0), "user").otherwise(F.col("role")))
-    both = m.join(new.select("session_id", "msg_idx", F.col("role").alias("new")), ["session_id", "msg_idx"], "full")
-    return both.where(~F.col("role").eqNullSafe(F.col("new"))).groupBy("session_id").agg(F.count(F.lit(1)).alias("changed"))
+    return changed_roles(m, new).groupBy("session_id").agg(F.count(F.lit(1)).alias("changed"))
 
 
 def _stats(spark, folder, extra=()):
@@ -228,7 +228,7 @@ def compressed_messages(spark, folder):
 
 def session_report(spark, folder):
     t, out, stats = _stats(spark, folder)
-    return session_rows(stats, t.messages, check_integrity(t.messages, t.messages))
+    return session_rows(stats, t.messages, check_integrity(t.messages, messages_of(out, t)))
 
 
 def grand_totals(spark, folder):
@@ -273,6 +273,7 @@ QUERIES = {
     "compressed_messages": compressed_messages,
     "session_report": session_report,
     "grand_totals": grand_totals,
+    **queries_built.QUERIES,
 }
 
 _DOCS = "WITH d AS (SELECT lang AS session_id, CAST(doc_id AS INT) AS msg_idx, 'doc-' || doc_id AS tool_call_id, text FROM documents)"
@@ -375,4 +376,5 @@ SELECT session_id, msg_idx, string_agg(line, chr(10) ORDER BY k) AS text FROM c
     "recent_window_flags": "SELECT conv_id AS session_id, turn AS msg_idx, turn >= count(*) OVER (PARTITION BY conv_id) - 3 AS protected FROM conversations",
     "pairing_integrity": _DOCS + " SELECT session_id, 'result_orphan' AS rule, count(*) AS n FROM d WHERE msg_idx % 7 <= 1 GROUP BY session_id",
     "role_sequence_check": "SELECT conv_id AS session_id, count(*) AS changed FROM conversations WHERE role = 'system' AND turn = 0 GROUP BY conv_id",
+    **queries_built.ORACLES,
 }

@@ -25,3 +25,21 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_named(rows: DataFrame, folder: str, suffix: str) -> str:
+    """Write each value of rows (name, value) as a file of its own, named by name and suffix, to a new folder; its path.
+
+    Executors write the files; the driver renames them, so there should be no more than it can list.
+    """
+    spark = rows.sparkSession
+    path = f"{folder}-{uuid.uuid4().hex}"
+    rows.select("name", "value").repartition("name").write.partitionBy("name").text(f"{path}/parts")
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/parts/name=*/*.txt")) or []:
+        name = found.getPath().getParent().getName().removeprefix("name=")
+        fs.rename(found.getPath(), jvm.org.apache.hadoop.fs.Path(root, name + suffix))
+    fs.delete(jvm.org.apache.hadoop.fs.Path(root, "parts"), True)
+    return path
