@@ -9,13 +9,14 @@ that start at anchors are sorted, and only at anchors that lie in two documents
 3. For those, each batch makes a run of its distinct suffixes (the bytes from the anchor on, then those before it
    backwards), sorted and front-coded: common prefix with the one before, and the rest.
 4. An owner merges the runs of its range with a loser tree whose entries carry their common prefix with the last winner.
-   Unequal prefixes decide at once; equal ones are compared from there on. Suffixes with one anchor come out together,
-   and each string of SPAN bytes around it gets the least document that has it.
+   Unequal prefixes decide at once; equal ones are compared from there on. The prefixes of the merged order say which
+   suffixes share the bytes from the anchor on; those before it are put in order in turn. So each string of SPAN bytes
+   around an anchor gets the least document that has it, block by block of the merged order.
 5. Batches take these back and remove, in each document, what a smaller one has.
 
-A suffix leaves a batch once, however many of its documents have it. An anchor that very many batches have, with ever
-other bytes around it, is dealt to owners by these bytes: once by those after it, for strings that start near it, and
-once by those before it, for the others.
+A suffix leaves a batch once, however many of its documents have it. An anchor that many batches have, with ever other
+bytes around it, is dealt to owners by these bytes: once by those after it, for strings that start near it, and once by
+those before it, for the others. An owner holds its runs front-coded and spells out a part of each at a time.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ PLACES = SPAN - GRAM + 1
 #: Bytes of text in a batch; a longer text is a batch of its own.
 BATCH = 1_000_000
 #: Batches from which on an anchor is dealt by the bytes around it.
-HOT = 1000
+HOT = 128
+#: Suffixes of a run that are spelt out at once, and of a block of the merged order, which ends with an anchor.
+CHUNK, BLOCK = 256, 1 << 15
 #: A string that starts at most so many bytes before its anchor has SPAN - NEAR bytes from there on; any other has more before it.
 NEAR = PLACES // 2
 FIRST = -(1 << 63)
@@ -212,34 +215,44 @@ def front_code(keys: np.ndarray, docs: np.ndarray, several: np.ndarray) -> bytes
     return zlib.compress(struct.pack("<II", n, keys.shape[1]) + prefix.astype("u1").tobytes() + several.astype("u1").tobytes() + docs.astype("<i8").tobytes() + rest.tobytes(), 1)
 
 
-def front_decode(blob: bytes) -> tuple[list[int], list[bytes], list[int], list[int]]:
-    """Common prefixes with the one before, suffixes, least documents, and whether several have each."""
-    data = zlib.decompress(blob)
-    n, width = struct.unpack_from("<II", data)
-    prefixes, several = list(data[8 : 8 + n]), list(data[8 + n : 8 + 2 * n])
-    at, before, keys = 8 + 10 * n, b"", []
-    for p in prefixes:
-        end = at + width - p
-        before = before[:p] + data[at:end]
-        at = end
-        keys.append(before)
-    return prefixes, keys, np.frombuffer(data, "<i8", n, 8 + 2 * n).tolist(), several
+class Run:
+    """A front-coded run, read from its start on: the common prefix, least document and whether several have it of each suffix, and the suffixes."""
 
+    def __init__(self, blob: bytes):
+        self.data = zlib.decompress(blob)
+        self.n, self.width = struct.unpack_from("<II", self.data)
+        self.several, self.docs = np.frombuffer(self.data, np.uint8, self.n, 8 + self.n), np.frombuffer(self.data, "<i8", self.n, 8 + 2 * self.n)
+        self.rest, self.base, self.keys = 8 + 10 * self.n, 0, [b""]
 
-def merge(runs: list[bytes]) -> Iterator[tuple[int, int, int, bytes, int, int]]:
-    """(common prefix with the one before, run, place in it, suffix, least document, several) of all runs in sorted order.
+    def prefix(self, at: int) -> int:
+        return self.data[8 + at]
+
+    def key(self, at: int) -> bytes:
+        """The suffix at a place, which is not before those asked for last."""
+        if at == self.base + len(self.keys) or not at and self.keys == [b""]:
+            before, self.base, keys, data = self.keys[-1], at, [], self.data
+            for p in data[8 + at : 8 + min(self.n, at + CHUNK)]:
+                end = self.rest + self.width - p
+                before = before[:p] + data[self.rest : end]
+                self.rest = end
+                keys.append(before)
+            self.keys = keys
+        return self.keys[at - self.base]
+
+
+def merge(runs: list[Run]) -> Iterator[tuple[int, int, int, bytes]]:
+    """(common prefix with the one before, run, place in it, suffix) of all runs in sorted order.
 
     A loser tree: node k holds the run that lost there and its common prefix with the run that won, -1 if it is at its
     end. As a winner's path to the root is played again, all prefixes on it are with that winner, the last that was put
     out: of two, the one that has more in common with it comes first, and only a tie is compared, from there on.
     """
     size = 1 << max(0, (len(runs) - 1).bit_length())
-    heads = [front_decode(r) for r in runs]
     place = [0] * len(runs)
-    now = [h[1][0] if h[1] else b"" for h in heads]
+    now = [r.key(0) if r.n else b"" for r in runs]
     lost_run, lost_prefix = [0] * size, [-1] * size
 
-    won = [(i, 0 if i < len(runs) and heads[i][1] else -1) for i in range(size)]
+    won = [(i, 0 if i < len(runs) and runs[i].n else -1) for i in range(size)]
     while len(won) > 1:
         up = []
         for k, ((a, la), (b, lb)) in enumerate(zip(won[::2], won[1::2], strict=True)):
@@ -254,12 +267,11 @@ def merge(runs: list[bytes]) -> Iterator[tuple[int, int, int, bytes, int, int]]:
         won = up
     best, prefix = won[0]
     while prefix >= 0:
-        prefixes, keys, docs, several = heads[best]
         at = place[best]
-        yield prefix, best, at, keys[at], docs[at], several[at]
+        yield prefix, best, at, now[best]
         place[best] = at = at + 1
-        if at < len(keys):
-            now[best], prefix = keys[at], prefixes[at]
+        if at < runs[best].n:
+            now[best], prefix = runs[best].key(at), runs[best].prefix(at)
         else:
             prefix = -1
         k = (size + best) >> 1
@@ -281,72 +293,78 @@ def merge(runs: list[bytes]) -> Iterator[tuple[int, int, int, bytes, int, int]]:
             k >>= 1
 
 
-def _around(x: bytes, y: bytes) -> tuple[int, int]:
-    """How many bytes two suffixes have in common from the anchor on, and before it; 0 and -1 if not even the anchor."""
-    right = min(common(x, y), x[WIDTH - 2], y[WIDTH - 2])
-    if right < GRAM:
-        return 0, -1
-    return right, min(common(x[SPAN : WIDTH - 2], y[SPAN : WIDTH - 2]), x[WIDTH - 1], y[WIDTH - 1])
+def least_documents(keys: np.ndarray, prefix: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which distinct suffix each is, (distinct, PLACES) least documents) of suffixes in merged order, with all of any anchor.
 
+    Column o is for the string that starts o bytes before the anchor: the least document of all suffixes that have it, where
+    the suffix has it.
+    """
+    new = prefix < WIDTH
+    new[:1] = True
+    first, which = np.flatnonzero(new), np.cumsum(new) - 1
+    u, lcp, own = keys[first], prefix[first].copy(), np.minimum.reduceat(docs, first)
+    lcp[:1] = 0
+    right, left = u[:, WIDTH - 2].astype(np.int64), u[:, WIDTH - 1].astype(np.int64)
+    least = np.repeat(own[:, None], PLACES, axis=1)
+    anchor = np.cumsum(lcp < GRAM)
+    g = np.flatnonzero(np.bincount(anchor)[anchor] > 1)  # all but the only suffix of an anchor
+    if not len(g):
+        return which, least
+    before = np.zeros((len(g), -(-(PLACES - 1) // 8) * 8), np.uint8)
+    before[:, : PLACES - 1] = u[g, SPAN : WIDTH - 2]
+    order = np.lexsort(before.view(">u8").astype(np.uint64).T[::-1])
+    differ = before[order][1:] != before[order][:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), PLACES)
+    by_doc = np.argsort(own[g], kind="stable")
+    lcp, right, left, own = lcp[g], right[g], left[g], own[g]
+    behind = np.empty(len(g), np.int64)
+    for o in range(PLACES):
+        behind[order] = np.concatenate([[0], np.cumsum(shared < o)])  # the same o bytes before
+        same = np.cumsum(lcp < SPAN - o) * len(g) + behind  # and the same SPAN - o from the anchor on
+        use = by_doc[((right >= SPAN - o) & (left >= o))[by_doc]]
+        use = use[np.argsort(same[use], kind="stable")]
+        if len(use):
+            starts = np.flatnonzero(np.concatenate([[True], same[use][1:] != same[use][:-1]]))
+            least[g[use], o] = np.repeat(own[use[starts]], np.diff(np.append(starts, len(use))))
+    return which, least
 
-def _with(lo: int, hi: int, own: int, a: int, b: int, least: int) -> list[tuple[int, int, int]]:
-    """Runs of own over lo to hi, but least over a to b, which lie within."""
-    if lo > hi or a > b or least == own:
-        return [(lo, hi, own)] if lo <= hi else []
-    return [r for r in ((lo, a - 1, own), (a, b, least), (b + 1, hi, own)) if r[0] <= r[1]]
 
+_TOLD = np.dtype([("place", "<u4"), ("lo", "u1"), ("hi", "u1"), ("doc", "<i8")])
 
-def least_documents(suffixes: list[tuple[bytes, int]]) -> list[list[tuple[int, int, int]]]:
-    """For each (suffix, least document) of one anchor: [(lo, hi, least)], runs of strings.
 
-    String o starts o bytes before the anchor; least is the least document of all that have it. A few suffixes are
-    compared with each other, many are looked up.
-    """
-    spans = [(max(0, SPAN - s[WIDTH - 2]), s[WIDTH - 1]) for s, _ in suffixes]
-    if len(suffixes) == 1:
-        return [[(*spans[0], suffixes[0][1])] if spans[0][0] <= spans[0][1] else []]
-    if len(suffixes) == 2:
-        (x, dx), (y, dy) = suffixes
-        right, left = _around(x, y)
-        both = (max(0, SPAN - right), left, min(dx, dy))
-        return [_with(lo, hi, doc, *both) for (lo, hi), doc in zip(spans, (dx, dy), strict=True)]
-    least = [[doc] * PLACES for _, doc in suffixes]
-    if len(suffixes) <= 8:
-        for i, (x, dx) in enumerate(suffixes):
-            for j in range(i):
-                y, dy = suffixes[j]
-                right, left = _around(x, y)
-                for o in range(max(0, SPAN - right), left + 1):
-                    if dy < least[i][o]:
-                        least[i][o] = dy
-                    if dx < least[j][o]:
-                        least[j][o] = dx
-    else:
-        for o in range(PLACES):
-            met: dict[tuple[bytes, bytes], int] = {}
-            here = [(k, (s[: SPAN - o], s[SPAN : SPAN + o])) for k, (s, _) in enumerate(suffixes) if spans[k][0] <= o <= spans[k][1]]
-            for k, key in here:
-                met[key] = min(met.get(key, suffixes[k][1]), suffixes[k][1])
-            for k, key in here:
-                least[k][o] = met[key]
-    out = []
-    for (lo, hi), m in zip(spans, least, strict=True):
-        runs = []
-        while lo <= hi:
-            end = lo
-            while end < hi and m[end + 1] == m[lo]:
-                end += 1
-            runs.append((lo, end, m[lo]))
-            lo = end + 1
-        out.append(runs)
-    return out
+def answers(runs: list[Run], block: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """(run, told): of entries of the merged order, for strings that a smaller document has, or several of the entry's batch, the least document."""
+    prefix, run, place = (np.array(c, np.int64) for c in list(zip(*block, strict=True))[:3])
+    docs, several = np.empty(len(block), np.int64), np.empty(len(block), bool)
+    by_run = np.argsort(run, kind="stable")
+    cuts = [0, *(np.flatnonzero(run[by_run][1:] != run[by_run][:-1]) + 1).tolist(), len(run)]
+    parts = [by_run[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    for part in parts:
+        r = runs[run[part[0]]]
+        docs[part], several[part] = r.docs[place[part]], r.several[place[part]] > 0
+    keys = np.frombuffer(b"".join([x[3] for x in block]), np.uint8).reshape(len(block), WIDTH)
+    which, least = least_documents(keys, prefix, docs)
+    o = np.arange(PLACES)
+    for part in parts:
+        found = least[which[part]]
+        has = (o >= SPAN - keys[part, WIDTH - 2, None].astype(np.int64)) & (o <= keys[part, WIDTH - 1, None])
+        has &= (found < docs[part, None]) | several[part, None]
+        apart = found[:, 1:] != found[:, :-1]
+        begin, end = has.copy(), has.copy()
+        begin[:, 1:] &= ~has[:, :-1] | apart
+        end[:, :-1] &= ~has[:, 1:] | apart
+        k, lo = np.nonzero(begin)
+        if len(k):
+            told = np.empty(len(k), _TOLD)
+            told["place"], told["lo"], told["hi"], told["doc"] = place[part][k], lo, np.nonzero(end)[1], found[k, lo]
+            yield int(run[part[0]]), told.tobytes()
 
 
 # Spark stages
 
 
-def _pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(batch, ids, texts) as a table bucketed by batch in the shared folder: joins by batch leave it where it is."""
+def _pack(docs: DataFrame, id_col: str, text_col: str) -> str:
+    """The name of (batch, ids, texts) as a table bucketed by batch in the shared folder: joins by batch leave it where it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 32
@@ -361,7 +379,7 @@ def _pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     name = f"scrollmill_batches_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed.write.bucketBy(buckets, "batch").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    return name
 
 
 def _send_anchors(packed: DataFrame, owners: int) -> DataFrame:
@@ -431,35 +449,29 @@ def _send_runs(shared: DataFrame, owners: int) -> DataFrame:
     return shared.mapInArrow(freeing(run), "owner int, batch long, run binary")
 
 
+def _blocks(merged: Iterator[tuple[int, int, int, bytes]]) -> Iterator[list[tuple[int, int, int, bytes]]]:
+    """The merged order in blocks that end with an anchor."""
+    block: list[tuple[int, int, int, bytes]] = []
+    for entry in merged:
+        if entry[0] < GRAM and len(block) >= BLOCK:
+            yield block
+            block = []
+        block.append(entry)
+    if block:
+        yield block
+
+
 def _merge_runs(sent: DataFrame, owners: int) -> DataFrame:
     """(batch, least [(owner, told)]): for suffixes with strings that several documents have, their least documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, rows in _by_owner(batches).items():
             told = [bytearray() for _ in rows]
-            group: list[tuple[bytes, int]] = []  # distinct suffixes of one anchor
-            members: list[tuple[int, int, int, int, int]] = []  # (run, place, which suffix, least document, several)
-
-            def close(told=told):
-                if len(members) > 1 or members[0][4]:
-                    answers = least_documents(group)
-                    for i, place, k, own, m in members:
-                        for lo, hi, doc in answers[k]:
-                            if doc < own or m:
-                                told[i] += struct.pack("<IBBq", place, lo, hi, doc)
-
-            for prefix, i, place, s, doc, m in merge([x["run"] for x in rows]):
-                if prefix < GRAM and members:
-                    close()
-                    group, members = [], []
-                if prefix == WIDTH and group:
-                    if doc < group[-1][1]:
-                        group[-1] = (s, doc)
-                else:
-                    group.append((s, doc))
-                members.append((i, place, len(group) - 1, doc, m))
-            if members:
-                close()
+            runs = [Run(x.pop("run")) for x in rows]
+
+            for block in _blocks(merge(runs)):
+                for i, t in answers(runs, block):
+                    told[i] += t
             out = [(r["batch"], owner, zlib.compress(bytes(t), 1)) for r, t in zip(rows, told, strict=True) if t]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["batch", "owner", "told"])
@@ -468,9 +480,6 @@ def _merge_runs(sent: DataFrame, owners: int) -> DataFrame:
     return found.groupBy("batch").agg(F.collect_list(F.struct("owner", "told")).alias("least"))
 
 
-_TOLD = np.dtype([("place", "<u4"), ("lo", "u1"), ("hi", "u1"), ("doc", "<i8")])
-
-
 def _remove(told: DataFrame, owners: int) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) of batches (batch, ids, texts, shared, least)."""
 
@@ -519,10 +528,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     small_batches(docs.sparkSession)
     owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = _pack(docs, id_col, text_col)
+    spark = docs.sparkSession
+    name = _pack(docs, id_col, text_col)
+    packed = spark.table(name)
     shared = cut(_find_shared(_send_anchors(packed, owners), owners), "shared")
     least = cut(_merge_runs(_send_runs(packed.join(shared, "batch"), owners), owners), "least")
-    return _remove(packed.join(shared, "batch", "left").join(least, "batch", "left"), owners)
+    out = cut(_remove(packed.join(shared, "batch", "left").join(least, "batch", "left"), owners), "kept")
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -33,6 +33,7 @@ def run(docs):
 @pytest.mark.parametrize(("batch", "hot"), [(1_000_000, 1000), (3000, 1000), (3000, 2)])
 def test_removed_bytes_agree_with_brute_force(corpus, batch, hot, monkeypatch):
     monkeypatch.setattr(s, "BATCH", batch)
+    monkeypatch.setattr(s, "BLOCK", 50 if hot == 2 else 1 << 15)
     monkeypatch.setattr(s, "HOT", hot)
     docs, rows = corpus
     assert run(docs) == brute(rows)
@@ -61,18 +62,21 @@ def coded(keys, doc=0):
     return s.front_code(rows, np.full(len(keys), doc), np.zeros(len(keys), bool))
 
 
-def test_merge_is_sorted_with_true_prefixes():
+@pytest.mark.parametrize("chunk", [1, 7, 256])
+def test_merge_is_sorted_with_true_prefixes(chunk, monkeypatch):
+    monkeypatch.setattr(s, "CHUNK", chunk)
     rng = random.Random(1)
     runs, every = [], []
     for i in range(7):
         keys = sorted({"".join(rng.choice("ab") for _ in range(9)).encode() for _ in range(rng.choice([0, 3, 20]))})
         runs.append(coded(keys, i))
         every += [(k, i, n) for n, k in enumerate(keys)]
+    runs = [s.Run(r) for r in runs]
     got = list(s.merge(runs))
     assert [(x[3], x[1], x[2]) for x in got] == sorted(every)
-    assert all(x[4] == x[1] for x in got)
+    assert all(runs[x[1]].docs[x[2]] == x[1] for x in got)
     before = b""
-    for prefix, _, _, key, *_ in got:
+    for prefix, _, _, key in got:
         assert prefix == s.common(before, key)
         before = key
 
@@ -82,22 +86,29 @@ def test_known_prefixes_are_not_compared_again(monkeypatch):
     plain = s.common
     runs = [coded([b"p" * 60 + bytes([97 + k, c]) for c in range(97, 110)], k) for k in range(4)]
     monkeypatch.setattr(s, "common", lambda x, y, at=0: seen.append(at) or plain(x, y, at))
-    list(s.merge(runs))
+    list(s.merge([s.Run(r) for r in runs]))
     assert sum(at < 60 for at in seen) <= 4  # only while the tree is first filled
 
 
-def test_few_and_many_suffixes_get_the_same_answers(monkeypatch):
+def test_least_documents_are_those_of_all_strings():
+    """Against a table of all strings around the anchors."""
     rng = random.Random(7)
-    middle = b"m" * s.GRAM
-    for n in (2, 3, 8):
-        suffixes = []
-        for doc in rng.sample(range(50), n):
+    rows = []
+    for anchor in [b"m" * s.GRAM, b"n" * s.GRAM, b"only one here is of!"]:
+        for _ in range(1 if anchor[:1] == b"o" else 40):
             right, left = rng.choice([s.SPAN, 33, 20]), rng.choice([s.PLACES - 1, 12, 0])
-            key = (middle + bytes(rng.choices(b"ab", [9, 1], k=right - s.GRAM))).ljust(s.SPAN, b"\0") + bytes(rng.choices(b"ab", [9, 1], k=left)).ljust(s.PLACES - 1, b"\0")
-            suffixes.append((key + bytes((right, left)), doc))
-        few = s.least_documents(suffixes)
-        many = s.least_documents(suffixes + [(b"z" * s.SPAN + b"\0" * (s.PLACES - 1) + bytes((s.SPAN, 0)), 99 + k) for k in range(9)])
-        assert few == many[:n]
+            key = (anchor + bytes(rng.choices(b"ab", [9, 1], k=right - s.GRAM))).ljust(s.SPAN, b"\0") + bytes(rng.choices(b"ab", [9, 1], k=left)).ljust(s.PLACES - 1, b"\0")
+            rows += [(key + bytes((right, left)), rng.randrange(50))] * rng.choice([1, 1, 2])
+    rows.sort()
+    rows = [(k, d if i % 2 else rng.randrange(50)) for i, (k, d) in enumerate(rows)]
+    prefix = [0, *(s.common(x, y) for (x, _), (y, _) in zip(rows, rows[1:], strict=False))]
+    keys = np.frombuffer(b"".join(k for k, _ in rows), np.uint8).reshape(len(rows), s.WIDTH)
+    which, least = s.least_documents(keys, np.array(prefix), np.array([d for _, d in rows]))
+    have = [[(k[: s.SPAN - o], k[s.SPAN : s.SPAN + o]) if k[-2] >= s.SPAN - o and k[-1] >= o else None for o in range(s.PLACES)] for k, _ in rows]
+    for r in range(len(rows)):
+        for o in range(s.PLACES):
+            if have[r][o]:
+                assert least[which[r], o] == min(d for (_, d), h in zip(rows, have, strict=True) if h[o] == have[r][o])
 
 
 def test_each_string_has_an_anchor_that_depends_on_it_alone():
