@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrollmill.functions.text import JS_SPACE
 
 S, NOT_S = f"[{JS_SPACE}]", f"[^{JS_SPACE}]"
-#: The patterns that tell operations, and the modes in which open() writes.
+#: The patterns that tell operations, the modes in which open() writes, and the tools that write and read.
 PY_OPEN = rf"""\bopen\({S}*(?:r|rb|f)?['"]([^'"]+)['"]{S}*(?:,{S}*['"]([a-zA-Z]+)['"])?"""
 PY_PATH_READ = rf"""\bPath\({S}*['"]([^'"]+)['"]{S}*\){S}*\.{S}*read_(?:text|bytes){S}*\("""
 PY_PATH_WRITE = rf"""\bPath\({S}*['"]([^'"]+)['"]{S}*\){S}*\.{S}*write_(?:text|bytes){S}*\("""

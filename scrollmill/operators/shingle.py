@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from bisect import bisect_left
 
 import numpy as np
@@ -115,6 +116,21 @@ class Session:
         return have if have >= self.size else 0
 
 
+def _scan(rows: pd.DataFrame, options: ShingleOptions) -> list[tuple]:
+    """(session_id, msg_idx, block_idx, new_text, spans) of a session's texts that change."""
+    session, out = Session(options), []
+    rows = rows.sort_values(["msg_idx", "block_idx"])
+    hashes = [np.zeros(0, np.int64) if p else window_hashes(units(t), options.shingle) for t, p in zip(rows.text, rows.protected, strict=True)]
+    for r, h, places in zip(rows.itertuples(), hashes, repeated_places(hashes), strict=True):
+        if r.protected:
+            session.skip(r.text)
+            continue
+        new, spans = session.take(r.text, r.ref, h, places)
+        if spans:
+            out.append((r.session_id, r.msg_idx, r.block_idx, new, [{"at": a, "n": n, "source": s} for a, n, s in spans]))
+    return out
+
+
 def shingle_texts(texts: DataFrame, options: ShingleOptions) -> DataFrame:
     """(session_id, msg_idx, block_idx, new_text, spans) of texts (session_id, msg_idx, block_idx, text, ref, protected) that change.
 
@@ -124,33 +140,36 @@ def shingle_texts(texts: DataFrame, options: ShingleOptions) -> DataFrame:
     """
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        session, out = Session(options), []
-        rows = rows.sort_values(["msg_idx", "block_idx"])
-        hashes = [np.zeros(0, np.int64) if p else window_hashes(units(t), options.shingle) for t, p in zip(rows.text, rows.protected, strict=True)]
-        for r, h, places in zip(rows.itertuples(), hashes, repeated_places(hashes), strict=True):
-            if r.protected:
-                session.skip(r.text)
-                continue
-            new, spans = session.take(r.text, r.ref, h, places)
-            if spans:
-                out.append((r.session_id, r.msg_idx, r.block_idx, new, [{"at": a, "n": n, "source": s} for a, n, s in spans]))
-        return pd.DataFrame(out, columns=["session_id", "msg_idx", "block_idx", "new_text", "spans"])
+        return pd.DataFrame(_scan(rows, options), columns=["session_id", "msg_idx", "block_idx", "new_text", "spans"])
 
     return texts.groupBy("session_id").applyInPandas(scan, "session_id string, msg_idx int, block_idx int, new_text string, spans array<struct<at:int,n:int,source:int>>")
 
 
+def shingle_latency(t: Transcript, options: ShingleOptions = ShingleOptions()) -> DataFrame:
+    """(session_id, bytes, ms): how long the scan of each session takes by itself, where it runs."""
+
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+        start = time.perf_counter()
+        _scan(rows, options)
+        return pd.DataFrame([(rows.session_id.iloc[0], int(rows.text.map(lambda x: len(x.encode("utf-8", "replace"))).sum()), (time.perf_counter() - start) * 1000)], columns=["session_id", "bytes", "ms"])
+
+    return _texts(t, options).groupBy("session_id").applyInPandas(scan, "session_id string, bytes long, ms double")
+
+
 def protected_messages(messages: DataFrame, window: int) -> DataFrame:
     """(session_id, from_idx): messages from there on are a session's last `window`, of any role."""
     return messages.groupBy("session_id").agg((F.count(F.lit(1)) - window).alias("from_idx"))
 
 
-def shingle_dedupe(t: Transcript, options: ShingleOptions = ShingleOptions()) -> Transcript:
+def _texts(t: Transcript, options: ShingleOptions) -> DataFrame:
     texts = t.blocks.where(is_text()).select("session_id", "msg_idx", "block_idx", "text", F.coalesce("tool_call_id", F.lit("undefined")).alias("ref"))
     if options.recent_window > 0:
-        texts = texts.join(protected_messages(t.messages, options.recent_window), "session_id").withColumn("protected", F.col("msg_idx") >= F.col("from_idx")).drop("from_idx")
-    else:
-        texts = texts.withColumn("protected", F.lit(False))
-    new = shingle_texts(texts, options).drop("spans")
+        return texts.join(protected_messages(t.messages, options.recent_window), "session_id").withColumn("protected", F.col("msg_idx") >= F.col("from_idx")).drop("from_idx")
+    return texts.withColumn("protected", F.lit(False))
+
+
+def shingle_dedupe(t: Transcript, options: ShingleOptions = ShingleOptions()) -> Transcript:
+    new = shingle_texts(_texts(t, options), options).drop("spans")
     out = t.blocks.join(new, ["session_id", "msg_idx", "block_idx"], "left")
     grown = F.when(F.col("new_text").isNull(), F.lit(0)).otherwise(json_string_len(F.col("new_text")) - json_string_len(F.col("text")))
     out = out.withColumns({"json_bytes": F.col("json_bytes") + grown, "text": F.coalesce("new_text", "text")})

@@ -76,10 +76,17 @@ def with_stats(t: Transcript, options: Options = DEFAULTS, extra: Sequence[Pass]
 
     Sizes follow from what a pass has changed; hits are the messages whose JSON it has changed.
     """
+    outs, stats = traced(t, options, extra)
+    return outs[-1], stats
+
+
+def traced(t: Transcript, options: Options = DEFAULTS, extra: Sequence[Pass] = ()) -> tuple[list[Transcript], DataFrame]:
+    """The transcript after each pass, and the statistics of with_stats."""
     whole = total_bytes(t.messages)
-    before, rows, out = cut(_sizes(t), "sizes"), [], t
+    before, rows, out, outs = cut(_sizes(t), "sizes"), [], t, []
     for k, (name, f) in enumerate(passes(t, options, extra)):
         out = _written(f(out), out, name)
+        outs.append(out)
         after = cut(_sizes(out), "sizes")  # narrow; the next pass is held against it
         both = before.join(after.select(*KEY, F.col("size").alias("new"), F.col("digest").alias("new_digest")), KEY)
         diff = both.groupBy("session_id").agg(F.sum(F.col("new") - F.col("size")).alias("delta"), F.sum((F.col("digest") != F.col("new_digest")).cast("long")).alias("hits"))
@@ -90,7 +97,7 @@ def with_stats(t: Transcript, options: Options = DEFAULTS, extra: Sequence[Pass]
     every = whole.crossJoin(F.broadcast(names)).join(changes.drop("pass"), ["session_id", "pass_no"], "left").fillna(0, ["delta", "hits"])
     running = F.sum("delta").over(Window.partitionBy("session_id").orderBy("pass_no"))
     stats = every.select("session_id", "pass_no", "pass", (F.col("bytes") + running - F.col("delta")).alias("bytes_before"), (F.col("bytes") + running).alias("bytes_after"), "hits")
-    return out, cut(stats, "stats")
+    return outs, cut(stats, "stats")
 
 
 def _rendered(raw: pd.Series, blocks: pd.Series, args: pd.Series) -> pd.Series:

@@ -55,6 +55,12 @@ def stats_report(stats: DataFrame | None, session_id: str) -> str:
     return "\n".join(lines)
 
 
+def latency_summary(rows: DataFrame) -> DataFrame:
+    """(sessions, bytes, total_ms, min_ms, max_ms, avg_ms, ms_per_kb) of times by session (bytes, ms)."""
+    sums = rows.agg(F.count(F.lit(1)).alias("sessions"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("ms"), F.lit(0.0)).alias("total_ms"), *[f("ms").alias(f"{f.__name__}_ms") for f in (F.min, F.max, F.avg)])
+    return sums.withColumn("ms_per_kb", F.when(F.col("bytes") > 0, F.col("total_ms") / (F.col("bytes") / 1024)).otherwise(0.0))
+
+
 def timed(runs: dict[str, Callable[[], object]], n_bytes: int) -> list[dict]:
     """Wall-clock milliseconds of each run, in all and per KB."""
     out = []

@@ -9,8 +9,9 @@ from scrollmill.functions.linediff import bag_similarity, diff_lines, render_dif
 from scrollmill.operators.neardup import best_candidates, near_dedupe, similar_pairs
 from scrollmill.schema import NearOptions
 
-LISTING = [f"file-{i}.ts  {1000 + i} bytes" for i in range(60)]
-OLD, NEW = "\n".join(LISTING), "\n".join([*LISTING[:30], "file-NEW.ts  9999 bytes", *LISTING[30:]])
+STOCK = [f"{k:03d} | crate {k * 17 % 64} | weight {k * k % 97} kg" for k in range(48)]
+EXTRA = "019b | barrel | weight unknown"
+OLD, NEW = "\n".join(STOCK), "\n".join([*STOCK[:20], EXTRA, *STOCK[20:]])
 
 
 def test_diff_rebuilds_the_new_text():
@@ -27,22 +28,22 @@ def test_diff_rebuilds_the_new_text():
 
 
 def test_diffs_and_how_they_are_shown():
-    assert diff_lines(["a"], ["a", "b", "c"]) == [("equal", "a"), ("add", "b"), ("add", "c")]
-    assert diff_lines(["a", "b"], ["a"]) == [("equal", "a"), ("remove", "b")]
-    assert {k for k, _ in diff_lines(["a", "b"], ["a", "b"])} == {"equal"}
-    assert diff_lines(["x"], ["y"]) == [("remove", "x"), ("add", "y")]
-    assert render_diff([("equal", "a"), ("remove", "b"), ("add", "c"), ("equal", "d")]) == "  a\n- b\n+ c\n  d"
-    before = [f"line-{i}" for i in range(50)]
-    after = [*before[:25], "CHANGED", *before[26:]]
+    assert diff_lines(["tea"], ["milk", "tea", "honey"]) == [("add", "milk"), ("equal", "tea"), ("add", "honey")]
+    assert diff_lines(["salt", "rice", "oil"], ["rice"]) == [("remove", "salt"), ("equal", "rice"), ("remove", "oil")]
+    assert diff_lines([], []) == [] and diff_lines(["one"] * 3, ["one"] * 3) == [("equal", "one")] * 3
+    assert diff_lines(["up"], ["down"]) == [("remove", "up"), ("add", "down")]
+    assert render_diff([("add", "p"), ("equal", "q"), ("remove", "r")]) == "+ p\n  q\n- r"
+    before = [f"verse {k}" for k in range(30)]
+    after = ["title", *before[:9], *before[10:], "coda"]
     assert render_diff(diff_lines(before, after)).split("\n") == [
-        "  line-0", "  line-1", "  ... (21 unchanged lines elided) ...", "  line-23", "  line-24", "- line-25", "+ CHANGED", "  line-26", "  line-27", "  ... (20 unchanged lines elided) ...", "  line-48", "  line-49",
+        "+ title", "  verse 0", "  verse 1", "  ... (5 unchanged lines elided) ...", "  verse 7", "  verse 8", "- verse 9", "  verse 10", "  verse 11", "  ... (16 unchanged lines elided) ...", "  verse 28", "  verse 29", "+ coda",
     ]
-    assert render_diff([("equal", x) for x in "abcd"]) == "  a\n  b\n  c\n  d" and render_diff([]) == ""
+    assert render_diff([("equal", x) for x in "wxyz"]) == "  w\n  x\n  y\n  z" and render_diff([]) == ""
 
 
 def test_bag_similarity():
-    assert bag_similarity(["a", "b"], ["a", "b"]) == 1 and bag_similarity(["a"], ["b"]) == 0 and bag_similarity([], []) == 1
-    assert bag_similarity(["a", "a", "b"], ["a", "b", "b"]) == pytest.approx(2 / 3)
+    assert bag_similarity(["sun", "moon"], ["moon", "sun"]) == 1 and bag_similarity(["sun"], ["moon"]) == 0 and bag_similarity([], []) == 1
+    assert bag_similarity(["sun"] * 3 + ["moon"], ["sun", "moon", "moon", "star"]) == pytest.approx(1 / 2)
 
 
 @pytest.mark.parametrize("threshold", [0.0, 0.3, 0.5, 0.85, 1.0])
@@ -66,9 +67,9 @@ def test_best_is_the_most_similar_then_the_earliest(spark):
 
 
 def test_near_duplicates(spark):
-    code, other = OLD.replace("file", "code"), "\n".join(f"something else {i * 7}" for i in range(60))
-    changed = code.replace("code-7.ts", "code-seven.ts")
-    long_old = "\n".join(f"row {i}" for i in range(401))
+    code, other = OLD.replace("crate", "shelf"), "\n".join(f"nothing of the kind, {i * 11}" for i in range(48))
+    changed = code.replace("007 | shelf", "007 | rack")
+    long_old = "\n".join(f"entry {i}" for i in range(401))
     cases = {
         "listing": [call("c1", code="ls()"), result("c1", OLD), call("c2", code="ls()"), result("c2", NEW)],
         "equal": [result("c1", OLD), result("c2", OLD)],
@@ -87,7 +88,7 @@ def test_near_duplicates(spark):
         assert out[name] == cases[name], name
     head, _, diff = texts(out["listing"][3])[0].partition("\n")
     assert head == "[near-duplicate of toolCallId c1 (99% similar), lossless line diff follows]" and out["listing"][1] == cases["listing"][1]
-    assert diff == render_diff(diff_lines(OLD.split("\n"), NEW.split("\n"))) and "+ file-NEW.ts  9999 bytes" in diff
+    assert diff == render_diff(diff_lines(OLD.split("\n"), NEW.split("\n"))) and f"+ {EXTRA}" in diff
     arg = lambda m, k="code": m["content"][-1]["arguments"][k]
     assert arg(out["argument"][2]).startswith("[near-duplicate of toolCall argument c1:code (98% similar), lossless line diff follows]\n")
     assert arg(out["keys"][1], "command").startswith("[near-duplicate of toolCall argument c1:code")

@@ -40,7 +40,9 @@ def test_sessions_from_files(spark, folder):
 
 def test_command_line(spark, folder, tmp_path_factory, capsys):
     assert cli.main(str(folder), spark) == 0
-    assert "all sessions passed" in capsys.readouterr().out
+    out = capsys.readouterr().out
+    assert "all sessions passed" in out and "one: 3 messages" in out and "two: 5 messages" in out
+    assert all(x in out for x in ("with pass-f-minify", "min_ms", "avg_ms", "ms/KB"))
     (folder / "bad.jsonl").write_text(entry(result("nobody", "y")))
     assert cli.main(str(folder), spark) == 1
     assert "bad: Tool result without a call: nobody" in capsys.readouterr().out
