@@ -29,7 +29,7 @@ BANDS, ROWS, BITS = 32, 5, 4
 #: Candidates estimated this many standard deviations below the threshold are dropped.
 SIGMAS = 5.0
 #: Members of a block, and bytes of their texts; a longer text stands alone.
-BLOCK, BLOCK_BYTES = 256, 4 << 20
+BLOCK, BLOCK_BYTES = 128, 4 << 20
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
