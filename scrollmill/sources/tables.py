@@ -10,9 +10,12 @@ from scrollmill.sources.sessions import from_tool_results
 
 
 def document_results(spark: SparkSession, folder: str) -> DataFrame:
-    """(session_id, msg_idx, tool_call_id, text): documents as tool results, a session a language."""
+    """(session_id, msg_idx, tool_call_id, text): documents as tool results, a session a language; without one the session is '', a null text is empty.
+
+    doc_id has to fit an int, which a message's place is.
+    """
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    return docs.select(F.col("lang").alias("session_id"), F.col("doc_id").cast("int").alias("msg_idx"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("tool_call_id"), "text")
+    return docs.select(F.coalesce("lang", F.lit("")).alias("session_id"), F.col("doc_id").cast("int").alias("msg_idx"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def tool_results(spark: SparkSession, folder: str) -> Transcript:
