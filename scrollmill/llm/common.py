@@ -70,13 +70,14 @@ def packed_row(docs: DataFrame) -> Column:
 HOT_SHARE = 4096
 
 
-def join_split(rows: DataFrame, entries: DataFrame, key: list[str], n_col: str, by: list[str], least: int = 1024) -> DataFrame:
+def join_split(rows: DataFrame, entries: DataFrame, key: list[str], n_col: str, by: list[str], least: int = 1024, known: tuple[int | None, int | None] | None = None) -> DataFrame:
     """Inner join of rows with entries, which have one row a key and say in n_col how many of rows have it.
 
     Entries of hot keys are copied, and the rows of such a key dealt over the copies by a hash of `by`, so that no task has
-    more than about `least` rows of one key, or a HOT_SHARE-th of all. Neither has a column `__share`.
+    more than about `least` rows of one key, or a HOT_SHARE-th of all. Neither has a column `__share`. known: the sum and the
+    maximum of n_col, if they have been looked up.
     """
-    total, top = entries.agg(F.sum(n_col), F.max(n_col)).first()
+    total, top = known or entries.agg(F.sum(n_col), F.max(n_col)).first()
     most = max(least, -(-(total or 0) // HOT_SHARE))
     if (top or 0) <= most:
         return rows.join(entries, key)

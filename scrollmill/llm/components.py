@@ -8,13 +8,6 @@ from pyspark.sql import functions as F
 from scrollmill.llm.common import cut, join_split
 
 
-def _tangled(edges: DataFrame) -> bool:
-    """Whether a node has an edge down and one up, or two edges down; if none has, the edges are stars around their least nodes."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("b").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e"))
-    nodes = ends.select("e.*").groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
-    return nodes.where("down + up > 1 and down > 0").agg(F.count(F.lit(1))).first()[0] > 0
-
-
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of each end of links (a, b); a component is its least id.
 
@@ -23,11 +16,17 @@ def components(links: DataFrame) -> DataFrame:
     over several places, to each of which its least neighbour is told.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while _tangled(edges):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = cut(join_split(both, least, ["a"], "n", ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        near = cut(both.groupBy("a").agg(F.min("b").alias("lo"), F.count(F.lit(1)).alias("n")), "near")
+        # The edges are stars around their least nodes if a node that has one below it has no other.
+        tangled, *known = near.agg(F.max((F.col("lo") < F.col("a")) & (F.col("n") > 1)), F.sum("n"), F.max("n")).first()
+        if not tangled:
+            break
+        least = near.select("a", F.least("lo", "a").alias("m"), "n")
+        large = join_split(both, least, ["a"], "n", ["b"], known=tuple(known)).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = cut(large, "large-star")
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "near")
         small = join_split(large, least, ["a"], "n", ["b"]).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         edges = cut(small.where("a <> b").distinct(), "links")
     ends = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))

@@ -123,9 +123,9 @@ def sign(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
 
 def _beside(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """pairs (a, b, ...) with the column of table (id, column) for either, as column_a and column_b; b may be in very many pairs."""
-    n = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    n = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "hubs")
     told = table.select(F.col("id").alias("b"), F.col(column).alias(f"{column}_b")).join(n, "b")
-    half = join_split(pairs, told, ["b"], "n", ["a"]).drop("n")
+    half = join_split(pairs, told, ["b"], "n", ["a"], known=tuple(n.agg(F.sum("n"), F.max("n")).first())).drop("n")
     return half.join(table.select(F.col("id").alias("a"), F.col(column).alias(f"{column}_a")), "a")
 
 
@@ -183,7 +183,7 @@ def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     top = by_label.groupBy("band", "key").agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max_by("label", rank).alias("most"), F.max_by("first", rank).alias("hub"), F.max("c").alias("n_most")
     )
-    return join_split(members, top.where("kinds > 1").drop("kinds"), ["band", "key"], "n", ["id"])
+    return join_split(members, cut(top.where("kinds > 1").drop("kinds"), "open-buckets"), ["band", "key"], "n", ["id"])
 
 
 def _star(opened: DataFrame) -> DataFrame:
@@ -323,7 +323,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     firsts = classes.select(F.col("class").alias("row"))
     reps = cut(signed.join(firsts, "row", "left_semi").select(F.col("row").alias("id"), F.col("id").alias("doc"), "sha", "bands", "packed"), "representatives")
     spread = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = cut(spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = cut(join_split(spread, buckets, ["band", "key"], "n", ["id"]).drop("n"), "members")
     wanted = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "doc", "sha")
     own = docs.select(F.col(id_col).cast("long").alias("doc"), text_digest(F.col(text_col)).alias("sha"), F.col(text_col).alias("text"))
@@ -335,7 +335,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     for step in ("star", "rest"):
         opened = _open(members, labels)
         if step == "star":
-            found = confirm(cut(likely(_star(opened), reps, percent), "likely"), texts, width, percent)
+            found = confirm(cut(likely(cut(_star(opened), "star"), reps, percent), "likely"), texts, width, percent)
         else:
             found = _rest(cut(opened, "apart"), reps, texts, width, percent)
         found = cut(found, "confirmed")

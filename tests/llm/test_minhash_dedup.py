@@ -109,7 +109,7 @@ def brute_pairs(rows, percent, width=5):
 
 def test_hubs_are_dealt_over_tasks(spark, monkeypatch):
     join = m.join_split
-    split = lambda *args: join(*args, least=4)
+    split = lambda *args, known=None: join(*args, least=4, known=known)
     monkeypatch.setattr(common, "HOT_SHARE", 2)
     monkeypatch.setattr(m, "join_split", split)
     monkeypatch.setattr(c, "join_split", split)
