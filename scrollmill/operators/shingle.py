@@ -14,7 +14,7 @@ from scrollmill.functions.blocks import is_text
 from scrollmill.functions.text import json_string_len
 from scrollmill.schema import ShingleOptions, Transcript
 
-#: The polynomial hash by which shingles are found. A collision hides a later match, so they matter.
+#: The polynomial hash by which shingles are found. Shingles that collide are told apart by their text.
 BASE, MOD = 257, 1_000_000_007
 
 
@@ -55,6 +55,8 @@ class Session:
         self.said = np.zeros(1 << 12, np.uint16)
         self.n = 0
         self.first: dict[int, tuple[int, str]] = {}
+        #: Further shingles of a hash that `first` has for another one.
+        self.more: dict[int, list[tuple[int, str]]] = {}
 
     def _say(self, codes: np.ndarray) -> None:
         while self.n + len(codes) > len(self.said):
@@ -81,6 +83,10 @@ class Session:
             at, own = found[k]
             seen = self.first.get(own)
             match = self._match(codes, start, at, seen[0]) if seen else 0
+            if seen and not match:  # another shingle of this hash
+                seen, match = next(((x, n) for x in self.more.get(own, ()) if (n := self._match(codes, start, at, x[0]))), (seen, 0))
+                if not match:
+                    self.more.setdefault(own, []).append((start + at, ref))
             if match:
                 lo, hi = at, at + match
                 # A span never parts the halves of one character.
