@@ -242,19 +242,25 @@ class Forest:
 
 
 def _plausible(opened: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b, id): labels of which members share a bucket and seem alike, enough of them to connect all such labels; and, in rows of their own, these members."""
-    full = opened.join(reps.select("id", "packed"), "id")
-    cells = _cells(full, ["band", "key"], _blocks(F.col("n")), _blocks(F.col("n") - F.col("n_most")), ["id", "label", "packed"])
+    """(a, b, id): labels of which members share a bucket and seem alike, enough of them to connect all such labels; and, in rows of their own, these members.
+
+    A pair is told of in the first band alone that it shares, where its labels differ as they do in all.
+    """
+    full = opened.join(reps.select("id", "packed", "bands"), "id").withColumn("bands", F.slice("bands", F.lit(1), F.col("band")))
+    cells = _cells(full, ["band", "key"], _blocks(F.col("n")), _blocks(F.col("n") - F.col("n_most")), ["id", "label", "packed", "bands"])
     least = floor_of(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _cell_by_cell(batches, ["band", "key", "i", "j"]):
             ids, labels, asks = (t.column(c).to_numpy() for c in ("id", "label", "asks"))
             packed = np.frombuffer(b"".join(t.column("packed").to_pylist()), np.uint64).reshape(len(labels), -1)
+            before = t.column("bands").combine_chunks()
+            before = before.flatten().to_numpy().reshape(len(labels), -1)
             forest, told, out, some = Forest(labels), np.flatnonzero(~asks), [], set()
             for u in np.flatnonzero(asks).tolist():
                 other = told[labels[told] != labels[u]]
                 alike = other[estimate(packed[u : u + 1], packed[other])[0] >= least] if len(other) else other
+                alike = alike[~(before[alike] == before[u]).any(axis=1)]
                 if len(alike):
                     some.add(ids[u])
                     some.update(ids[alike].tolist())
