@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrollmill.functions.blocks import is_text
-from scrollmill.functions.text import json_string_len
+from scrollmill.functions.text import json_string_len, utf8_len
+from scrollmill.operators.shingle_parts import texts_by_parts
 from scrollmill.schema import ShingleOptions, Transcript
+from scrollmill.storage import cut
 
 #: The polynomial hash by which shingles are found. Shingles that collide are told apart by their text.
 BASE, MOD = 257, 1_000_000_007
+#: Bytes of the longest session that one task scans whole.
+MOST = 16 << 20
 
 
 def units(text: str) -> np.ndarray:
@@ -137,18 +141,27 @@ def _scan(rows: pd.DataFrame, options: ShingleOptions) -> list[tuple]:
     return out
 
 
-def shingle_texts(texts: DataFrame, options: ShingleOptions) -> DataFrame:
+def shingle_texts(texts: DataFrame, options: ShingleOptions, most: int = MOST) -> DataFrame:
     """(session_id, msg_idx, block_idx, new_text, spans) of texts (session_id, msg_idx, block_idx, text, ref, protected) that change.
 
-    A session is scanned by one task, as each step depends on all before it; sessions are independent. Only places whose
-    hash the session has twice are walked, the rest is passed over in whole arrays. The task holds the session's texts and
-    eight bytes a code unit: that bounds the longest session by an executor's memory.
+    Each step depends on all before it; sessions are independent. A session of `most` bytes or less is scanned by one task,
+    of a longer one shingle_parts finds the repeats over all tasks, and one task walks over these without the texts. Only
+    places whose hash the session has twice are walked, the rest is passed over in whole arrays.
     """
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_scan(rows, options), columns=["session_id", "msg_idx", "block_idx", "new_text", "spans"])
 
-    return texts.groupBy("session_id").applyInPandas(scan, "session_id string, msg_idx int, block_idx int, new_text string, spans array<struct<at:int,n:int,source:int>>")
+    def whole(of: DataFrame) -> DataFrame:
+        return of.groupBy("session_id").applyInPandas(scan, "session_id string, msg_idx int, block_idx int, new_text string, spans array<struct<at:int,n:int,source:long>>")
+
+    long = cut(texts.groupBy("session_id").agg(F.sum(utf8_len(F.col("text"))).alias("n")).where(F.col("n") > most).select("session_id"), "long-sessions")
+    if long.isEmpty():
+        return whole(texts)
+    # A place that a session has twice names no text, so that the order of such a session is that of its rows.
+    twice = texts.join(F.broadcast(long), "session_id", "left_semi").groupBy("session_id", "msg_idx", "block_idx").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or msg_idx is null or block_idx is null")
+    long = F.broadcast(cut(long.join(twice.select("session_id").distinct(), "session_id", "left_anti"), "long-sessions"))
+    return whole(texts.join(long, "session_id", "left_anti")).unionByName(texts_by_parts(texts.join(long, "session_id", "left_semi"), options))
 
 
 def shingle_latency(t: Transcript, options: ShingleOptions = ShingleOptions()) -> DataFrame:
