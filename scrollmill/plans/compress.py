@@ -18,7 +18,7 @@ from scrollmill.operators.reads import referenced, superseded_reads
 from scrollmill.operators.runs import runlength
 from scrollmill.operators.shingle import shingle_dedupe
 from scrollmill.schema import DEFAULTS, Options, Transcript
-from scrollmill.storage import cut
+from scrollmill.storage import cut, tidy
 
 Pass = tuple[str, Callable[[Transcript], Transcript]]
 KEY = ["session_id", "msg_idx"]
@@ -54,7 +54,8 @@ def _settled(t: Transcript, before: Transcript, name: str) -> Transcript:
 
 def compress(t: Transcript, options: Options = DEFAULTS, extra: Sequence[Pass] = ()) -> Transcript:
     """All passes, one after the other; messages are neither removed nor reordered."""
-    return reduce(lambda x, p: _settled(p[1](x), x, p[0]), passes(t, options, extra), t)
+    with tidy(t.messages.sparkSession):
+        return reduce(lambda x, p: _settled(p[1](x), x, p[0]), passes(t, options, extra), t)
 
 
 def _sizes(t: Transcript) -> DataFrame:
@@ -76,7 +77,8 @@ def with_stats(t: Transcript, options: Options = DEFAULTS, extra: Sequence[Pass]
 
     Sizes follow from what a pass has changed; hits are the messages whose JSON it has changed.
     """
-    outs, stats = traced(t, options, extra)
+    with tidy(t.messages.sparkSession):
+        outs, stats = traced(t, options, extra)
     return outs[-1], stats
 
 
