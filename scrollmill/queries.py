@@ -142,10 +142,10 @@ def near_dupe_best(spark, folder):
 
 
 def near_dupe_diff(spark, folder):
-    """All texts with a word a line: their near copies then have short diffs."""
+    """All texts with a word a line: their near copies then have short diffs. The texts may have any number of words."""
     d = _docs(spark, folder).select("session_id", F.col("msg_idx").alias("ord"), F.replace("text", F.lit(" "), F.lit("\n")).alias("text"), F.col("tool_call_id").alias("ref"))
     d = d.where(utf8_len(F.col("text")) >= NearOptions().min_length)
-    return near_diffs(d, NearOptions()).select("session_id", "ord", "ref", "sim", "diff")
+    return near_diffs(d, NearOptions(max_diff_lines=None)).select("session_id", "ord", "ref", "sim", "diff")
 
 
 def repeated_shingles_query(spark, folder):
